@@ -200,3 +200,48 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         now = after
     pairs = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("id"), F.col("component")).distinct())
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal values in the first ``keys`` (integer) columns, as one table each."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(n, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if last is not None and tuple(c[0] for c in columns) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def list_column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, n + 1 bounds) of a list column of one group."""
+    parts = table.column(name).chunks
+    values = [p.flatten().to_numpy(zero_copy_only=False) for p in parts]
+    sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def least_labels(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row of a symmetric link matrix reaches, itself included."""
+    label = ids.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        step = np.minimum(label, np.where(links, label[None, :], top).min(axis=1, initial=top))
+        if (step == label).all():
+            return label
+        label = step

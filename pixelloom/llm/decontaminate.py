@@ -136,32 +136,44 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """(doc_id, contaminated, item_ids, edits) for every row of documents (doc_id, text);
-    edits[i] is the least number of edits of item_ids[i] in the text."""
-    spark = documents.sparkSession
+def _matched(rows: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """rows (text and others) with _item_ids and _edits."""
+    spark, columns = rows.sparkSession, [*rows.columns, "_item_ids", "_edits"]
     none = F.array().cast("array<long>")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("item_ids"), none.alias("edits"))
-    scratch = None
+    out = rows.select("*", none.alias("_item_ids"), none.alias("_edits"))
+    schema, scratch = out.schema, None
+
+    def passed(rows: DataFrame, block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS and one item
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, rate)
+            for batch in batches:
+                found = []
+                for text, ids, edits in zip(*(batch.column(c) for c in ("text", "_item_ids", "_edits")), strict=True):
+                    found.append(sorted([*zip(ids.as_py(), edits.as_py(), strict=True), *matcher.match(text.as_py())]))
+                ids = pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64()))
+                edits = pa.array([[e for _, e in f] for f in found], pa.list_(pa.int64()))
+                yield pa.record_batch([*batch.columns[:-2], ids, edits], columns)
+
+        return rows.mapInArrow(run, schema)
+
     for k, block in enumerate(_blocks(benchmark)):
         if k:  # one block's automaton is in memory at a time
             scratch = scratch or Scratch(spark, "decontaminate")
-            rows = scratch.save(rows, f"pass{k}")
-        held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS and one item
-        rows = rows.mapInArrow(_runner(held, rate), "doc_id long, text string, item_ids array<long>, edits array<long>")
-    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
-
-
-def _runner(held, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
-        names = ["doc_id", "text", "item_ids", "edits"]
-        for batch in batches:
-            found = []
-            for text, ids, edits in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                found.append(sorted([*zip(ids.as_py(), edits.as_py(), strict=True), *matcher.match(text.as_py())]))
-            ids = pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64()))
-            edits = pa.array([[e for _, e in f] for f in found], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), ids, edits], names)
-
-    return run
+            out = scratch.save(out, f"pass{k}")
+        out = passed(out, block)
+    return out
+
+
+def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """(doc_id, contaminated, item_ids, edits) for every row of documents (doc_id, text);
+    edits[i] is the least number of edits of item_ids[i] in the text."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _matched(rows, benchmark, rate)
+    return found.select("doc_id", (F.size("_item_ids") > 0).alias("contaminated"), F.col("_item_ids").alias("item_ids"), F.col("_edits").alias("edits"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of documents (text and others) in which no item occurs, unchanged."""
+    return _matched(documents, benchmark, rate).where(F.size("_item_ids") == 0).select(documents.columns)

@@ -32,6 +32,8 @@ WIDTHS = (2, 3, 4)
 SAMPLE_TEXTS = 4000
 SAMPLE_WINDOWS = 8
 UNKNOWN = "und"
+#: A filter keeps texts whose language has at least this score.
+LEAST_SCORE = 0.5
 
 #: Byte classes: letters in one case, white space, other ASCII, the 64 bytes that continue a
 #: character, and the bytes that begin one.
@@ -198,31 +200,52 @@ def train(documents: DataFrame, where=None) -> LanguageModel:
     return fit([p for r in got for p in r.parts], [r.lang for r in got for _ in r.parts])
 
 
+def _judge(net: LanguageModel, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    lang = np.full(len(texts), UNKNOWN, object)
+    best = np.zeros(len(texts))
+    letter = letters.to_numpy(zero_copy_only=False).astype(bool)
+    if len(net.languages):
+        codes, text, filled = windows(texts)
+        total = np.zeros((len(texts), len(net.languages)))
+        np.add.at(total, text, net.logits(codes).astype(np.float64) * filled[:, None])
+        total /= np.maximum(1, np.bincount(text, weights=filled, minlength=len(texts)))[:, None]
+        total -= total.max(axis=1, keepdims=True)
+        prob = np.exp(total)
+        prob /= prob.sum(axis=1, keepdims=True)
+        top = prob.argmax(axis=1)
+        lang[letter] = np.array(net.languages, object)[top[letter]]
+        best[letter] = prob[np.arange(len(top)), top][letter]
+    return lang, best
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+
+
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of documents (doc_id, text)."""
     held = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: filters and a dense layer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
-        names = np.array(net.languages, object)
         for batch in batches:
             for chunk in text_chunks(batch, "text", 1 << 18):
-                lang = np.full(chunk.num_rows, UNKNOWN, object)
-                best = np.zeros(chunk.num_rows)
-                letter = chunk.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                if len(names):
-                    codes, text, filled = windows(chunk.column(1))
-                    z = net.logits(codes).astype(np.float64) * filled[:, None]
-                    total = np.zeros((chunk.num_rows, len(names)))
-                    np.add.at(total, text, z)
-                    total /= np.maximum(1, np.bincount(text, weights=filled, minlength=chunk.num_rows))[:, None]
-                    total -= total.max(axis=1, keepdims=True)
-                    prob = np.exp(total)
-                    prob /= prob.sum(axis=1, keepdims=True)
-                    top = prob.argmax(axis=1)
-                    lang[letter] = names[top[letter]]
-                    best[letter] = prob[np.arange(len(top)), top][letter]
+                lang, best = _judge(held.value, chunk.column(1), chunk.column(2))
                 yield pa.record_batch([chunk.column(0), pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _has_letter())
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(documents: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of documents whose language is known with at least the given score, unchanged."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    columns = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch, "text", 1 << 18):
+                lang, best = _judge(held.value, chunk.column("text"), chunk.column("_letter"))
+                yield chunk.filter(pa.array((lang != UNKNOWN) & (best >= least))).select(columns)
+
+    return documents.select("*", _has_letter()).mapInArrow(run, documents.schema)
