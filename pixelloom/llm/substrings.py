@@ -8,8 +8,14 @@ exchange, and equal stretches of words get equal symbols inside, in every docume
 
 What a symbol depends on is known exactly (its own words and the neighbours that kept it
 from joining), so a symbol whose context lies in a window of words is found again in any
-equal window of any document.  Each window chooses the symbol of the highest level among
-those; every repeat therefore shows as a chosen symbol that two documents share.  Spark
+equal window of any document.
+
+After many rounds a text is a few long symbols.  A long symbol whose words, and the twelve
+after it, are also in an earlier document is settled at once: every window that starts in
+it is a repeat.  Equal windows are also in the earlier document, so only symbols that are
+not settled are looked into further: of a group of copies, that is one copy.  Among those,
+each window chooses the symbol of the highest level among
+its consistent ones; every repeat therefore shows as a chosen symbol that two documents share.  Spark
 finds the shared symbols, and only windows that chose one are compared, by 96 bits of
 their content.
 
@@ -28,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OTHER_BASE, OTHER_INV, U64, Scratch, Words, mix, window_hashes, word_lists
+from .common import OTHER_BASE, OTHER_INV, U64, WORD_BASE, WORD_INV, Scratch, Words, mix, ranged_hash, word_lists
 
 #: Words of a window.
 WINDOW = 13
 #: Rounds of pair renaming: more of them choose more symbols, fewer of them choose commoner ones.
-ROUNDS = 3
+ROUNDS = 2
+#: Rounds that make the long symbols, of about 0.75 ** -LONG_ROUNDS words.
+LONG_ROUNDS = 10
 _FAR = 1 << 40
 
 
@@ -42,7 +50,8 @@ def _name(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
 
 
 def representatives(words: np.ndarray, first: np.ndarray, width: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
-    """The chosen symbol of the window that starts at each word.
+    """The chosen symbol of the window that starts at each word, named by its level and a hash of
+    the words that it depends on.
 
     ``first`` has the word index of each text's start, and the end.  Windows that reach
     over a text's end get a symbol too; the caller leaves them out.
@@ -55,10 +64,11 @@ def representatives(words: np.ndarray, first: np.ndarray, width: int = WINDOW, r
         return slack[width - 1, :n]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
 
-    def offer(level: int, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    def offer(level: int, low: np.ndarray, high: np.ndarray) -> None:
         use = (high - low <= width) & (low >= 0)
         low, high = low[use], high[use]
-        value = (names[use] >> U64(4)) | (U64(level) << top)
+        # all words that the symbol depends on: more of them are in one document only
+        value = (ranged_hash(words, low, high, WORD_BASE, WORD_INV) >> U64(4)) | (U64(level) << top)
         np.maximum.at(slack.reshape(-1), (width - (high - low)) * (n + 1) + low, value)
 
     # runs of one word
@@ -71,7 +81,7 @@ def representatives(words: np.ndarray, first: np.ndarray, width: int = WINDOW, r
     home = text[start]
     low = np.where(start > first[home], start - 1, -_FAR)
     high = np.where(end < first[home + 1], end + 1, _FAR)
-    offer(1, name[length > 1], low[length > 1], high[length > 1])
+    offer(1, low[length > 1], high[length > 1])
     # pairs
     for level in range(1, rounds + 1):
         if len(name) < 2:
@@ -90,7 +100,7 @@ def representatives(words: np.ndarray, first: np.ndarray, width: int = WINDOW, r
         new_high[heads] = np.maximum(high[heads], high[heads + 1])
         name = name.copy()
         name[heads] = _name(name[heads], name[heads + 1], level)
-        offer(level + 1, name[heads], new_low[heads], new_high[heads])
+        offer(level + 1, new_low[heads], new_high[heads])
         keep = np.ones(len(name), bool)
         keep[heads + 1] = False
         name, low, high, home = name[keep], new_low[keep], new_high[keep], home[keep]
@@ -101,6 +111,58 @@ def representatives(words: np.ndarray, first: np.ndarray, width: int = WINDOW, r
     return best[:n]
 
 
+def long_symbols(words: np.ndarray, first: np.ndarray, rounds: int = LONG_ROUNDS) -> np.ndarray:
+    """The word indexes where the symbols of the last round start."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[first] = True
+    fresh = edge[:n].copy()
+    fresh[0] = True
+    fresh[1:] |= words[1:] != words[:-1]
+    start = np.flatnonzero(fresh)
+    length = np.diff(np.append(start, n)).astype(U64)
+    name = np.where(length > 1, _name(words[start], length, 0), words[start])
+    for level in range(1, rounds + 1):
+        left = (name >> U64(5 * level)) & U64(1) == 0
+        heads = np.flatnonzero(left[:-1] & ~left[1:] & ~edge[start[1:]])
+        name[heads] = _name(name[heads], name[heads + 1], level)
+        keep = np.ones(len(name), bool)
+        keep[heads + 1] = False
+        name, start = name[keep], start[keep]
+    return start
+
+
+def _double_hash(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for the words of each range."""
+    one = ranged_hash(hashes, low, high, WORD_BASE, WORD_INV)
+    two = ranged_hash(mix(hashes ^ U64(0x1B873593CC9E2D51)), low, high, OTHER_BASE, OTHER_INV)
+    return one.view(np.int64), (two >> U64(32)).astype(np.uint32).view(np.int32)
+
+
+def _longs(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, words in word_lists(batches, "text"):
+            hashes, first = words.hashes(), words.first
+            start = long_symbols(hashes, first)
+            text = np.searchsorted(first, start, "right") - 1
+            end = np.append(start[1:], len(hashes))
+            # windows start in start..end and reach over the end
+            stop = np.minimum(end, first[text + 1] - width + 1)
+            use = stop > start
+            start, stop, text = start[use], stop[use], text[use]
+            h, g = _double_hash(hashes, start, stop + width - 1)
+            docs = chunk.column(0).to_numpy(zero_copy_only=False)[text]
+            base = first[text]
+            yield pa.record_batch(
+                [pa.array(h), pa.array(g), pa.array(docs, pa.int64()), pa.array((start - base).astype(np.int32)), pa.array((stop - base).astype(np.int32))],
+                ["h", "g", "d", "s", "e"],
+            )
+
+    return run
+
+
 def _window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(word index of every window, its text) of texts that start at ``first``."""
     count = np.maximum(np.diff(first) - width + 1, 0)
@@ -123,88 +185,132 @@ def _symbols(width: int, rounds: int):
     return run
 
 
+def _ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.fill_null([]) if column.null_count else column
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
+def _spread(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any range low..high."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, low, 1)
+    np.add.at(step, high, -1)
+    return np.cumsum(step[:n]) > 0
+
+
 def _windows(width: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, words in word_lists(batches, "text"):
-            hashes = words.hashes()
-            chosen = representatives(hashes, words.first, width, rounds).view(np.int64)
-            one = window_hashes(hashes, width)
-            two = window_hashes(mix(hashes ^ U64(0x1B873593CC9E2D51)), width, OTHER_BASE, OTHER_INV)
-            lists = chunk.column(2)
-            keys, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            hashes, first = words.hashes(), words.first
+            chosen = representatives(hashes, first, width, rounds).view(np.int64)
+            keys, key_at = _ranges(chunk.column(2))
+            low, low_at = _ranges(chunk.column(3))
+            high, _ = _ranges(chunk.column(4))
             docs = chunk.column(0).to_numpy(zero_copy_only=False)
             out = []
             for i in range(chunk.num_rows):
-                low, high = words.first[i], words.first[i + 1] - width + 1
-                shared = keys[bounds[i] : bounds[i + 1]]
-                if high > low and len(shared):
-                    at = low + np.flatnonzero(np.isin(chosen[low:high], shared))
-                    out.append((i, at))
+                a, b = first[i], first[i + 1] - width + 1
+                shared = keys[key_at[i] : key_at[i + 1]]
+                if b > a and len(shared):
+                    part = slice(low_at[i], low_at[i + 1])
+                    settled = _spread(low[part], high[part], b - a)
+                    out.append((i, a + np.flatnonzero(~settled & np.isin(chosen[a:b], shared))))
             if not out:
                 continue
-            at = np.concatenate([a for _, a in out])
-            row = np.repeat([i for i, _ in out], [len(a) for _, a in out])
-            yield pa.record_batch(
-                [pa.array(one[at].view(np.int64)), pa.array((two[at] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(docs[row], pa.int64()), pa.array((at - words.first[row]).astype(np.int32))],
-                ["h", "g", "d", "s"],
-            )
-
-    return run
-
-
-def _removed(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, words in word_lists(batches, "text"):
-            count = np.diff(words.first)
-            lists = chunk.column(2).fill_null([]) if chunk.column(2).null_count else chunk.column(2)
-            starts, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            kept_text, removed = [], np.zeros(chunk.num_rows, np.int64)
-            raw = words.data.tobytes()
-            for i in range(chunk.num_rows):
-                low, n = words.first[i], count[i]
-                gone = np.zeros(n + 1, np.int32)
-                at = np.unique(starts[bounds[i] : bounds[i + 1]])
-                at = at[at + width <= n]
-                gone[at] += 1
-                gone[at + width] -= 1
-                keep = np.cumsum(gone[:n]) == 0
-                removed[i] = n - int(keep.sum())
-                a, b = words.starts[low : low + n], words.ends[low : low + n]
-                kept_text.append(b" ".join([raw[x:y] for x, y in zip(a[keep].tolist(), b[keep].tolist())]).decode("utf-8"))
-            yield pa.record_batch(
-                [chunk.column(0), pa.array(count, pa.int64()), pa.array(removed), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
-            )
+            at = np.concatenate([x for _, x in out])
+            row = np.repeat([i for i, _ in out], [len(x) for _, x in out])
+            h, g = _double_hash(hashes, at, at + width)
+            yield pa.record_batch([pa.array(h), pa.array(g), pa.array(docs[row], pa.int64()), pa.array((at - first[row]).astype(np.int32))], ["h", "g", "d", "s"])
 
     return run
 
 
-def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(d, starts): for each document the windows whose words also start in a document with
-    a smaller doc_id, as word places."""
+def _kept(words: Words, lists: list[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(words, removed words, kept text) of each text, given its (starts, low, high)."""
+    count = np.diff(words.first)
+    (one, one_at), (low, low_at), (high, _) = (_ranges(x) for x in lists)
+    texts, removed = [], np.zeros(len(count), np.int64)
+    raw = words.data.tobytes()
+    for i, n in enumerate(count.tolist()):
+        first = words.first[i]
+        at, part = one[one_at[i] : one_at[i + 1]], slice(low_at[i], low_at[i + 1])
+        begin = np.concatenate([at, low[part]])
+        end = np.concatenate([at + width, high[part] + width - 1])
+        fits = end <= n  # a row of another text under the same doc_id may be shorter
+        keep = ~_spread(begin[fits], end[fits], n)
+        removed[i] = n - int(keep.sum())
+        a, b = words.starts[first : first + n], words.ends[first : first + n]
+        texts.append(b" ".join([raw[x:y] for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]).decode("utf-8"))
+    return count, removed, texts
+
+
+def _earlier(rows: DataFrame) -> DataFrame:
+    """Rows of (h, g, d, ...) whose content (h, g) is also under a smaller d."""
+    low = rows.groupBy("h", "g").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h", "g", "low")
+    return rows.join(low, ["h", "g"]).where("d > low")
+
+
+def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Windows whose words also start in a document with a smaller doc_id, as word places:
+    (d, starts) one by one, and (d, low, high) for all windows that start in low..high."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    longs = scratch.save(rows.mapInArrow(_longs(width), "h long, g int, d long, s int, e int"), "longs")
+    settled = _earlier(longs).groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    settled = scratch.save(settled.select("d", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
+    scratch.drop("longs")
     symbols = scratch.save(rows.mapInArrow(_symbols(width, rounds), "k long, d long"), "symbols")
     shared = symbols.groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("k")
-    own = symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys"))
-    own = scratch.save(own, "keys")
+    own = scratch.save(symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys")), "keys")
     scratch.drop("symbols")
-    found = rows.join(own, rows.doc_id == own.d).select("doc_id", "text", "keys")
+    found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), "doc_id", "left")
+    found = found.select("doc_id", "text", "keys", "low", "high")
     windows = scratch.save(found.mapInArrow(_windows(width, rounds), "h long, g int, d long, s int"), "windows")
     scratch.drop("keys")
-    low = windows.groupBy("h", "g").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h", "g", "low")
-    later = windows.join(low, ["h", "g"]).where("d > low").groupBy("d").agg(F.collect_list("s").alias("starts"))
-    later = scratch.save(later, "later")
+    later = scratch.save(_earlier(windows).groupBy("d").agg(F.collect_list("s").alias("starts")), "later")
     scratch.drop("windows")
-    return later
+    return later, settled
+
+
+def _with_repeats(documents: DataFrame, width: int, rounds: int) -> DataFrame:
+    """documents with what to remove, as _starts, _low and _high."""
+    scratch = Scratch(documents.sparkSession, "substrings")
+    later, settled = repeats(documents, scratch, width, rounds)
+    later = later.select(F.col("d").alias("_d"), F.col("starts").alias("_starts"))
+    settled = settled.select(F.col("d").alias("_e"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    rows = documents.join(later, F.col("doc_id") == F.col("_d"), "left").join(settled, F.col("doc_id") == F.col("_e"), "left")
+    return rows.drop("_d", "_e")
 
 
 def dedup(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of documents (doc_id, text): ``kept``
     has the words that stay, joined by one space."""
-    scratch = Scratch(documents.sparkSession, "substrings")
-    later = repeats(documents, scratch, width, rounds)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.join(later, rows.doc_id == later.d, "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
-    return found.mapInArrow(_removed(width), "doc_id long, n_words long, n_removed long, kept string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, words in word_lists(batches, "text"):
+            count, removed, texts = _kept(words, chunk.columns[2:], width)
+            yield pa.record_batch([chunk.column(0), pa.array(count, pa.int64()), pa.array(removed), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    rows = _with_repeats(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, rounds)
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def rewrite(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """documents (doc_id, text, n_chars and others) with the words that stay as ``text``; rows
+    that lose all their words go, rows that lose none are unchanged."""
+    columns = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, words in word_lists(batches, "text"):
+            count, removed, texts = _kept(words, [chunk.column(c) for c in ("_starts", "_low", "_high")], width)
+            old = chunk.column("text")
+            new = [texts[i] if removed[i] else old[i].as_py() for i in range(chunk.num_rows)]
+            chars = chunk.column("n_chars").to_pylist()
+            sizes = [len(new[i]) if removed[i] else chars[i] for i in range(chunk.num_rows)]
+            fresh = {"text": pa.array(new, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            whole = pa.record_batch([fresh.get(c, chunk.column(c)) for c in columns], columns)
+            yield whole.filter(pa.array((removed < count) | (count == 0)))
+
+    return _with_repeats(documents, width, rounds).mapInArrow(run, documents.schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:
