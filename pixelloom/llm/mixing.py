@@ -67,8 +67,9 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     level = (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
-    ranked = ranked.withColumn("level", level).withColumn("open", F.when(F.col("level") <= F.col("ratio"), F.col("level")))
-    return ranked.withColumn("final", F.min("open").over(whole)).select(
+    ranked = ranked.withColumn("level", level)
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(whole)
+    return ranked.withColumn("final", first["level"]).select(
         "source", "rank", "source_size", "n_docs", "weight",
         F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"),
     )
