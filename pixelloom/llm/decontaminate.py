@@ -47,7 +47,7 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, most: int) -> int:
     ``pattern_bits`` has the places of each character of the pattern as bits.
     """
     mask, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, left = mask, 0, m, most + 1, len(text)
+    pv, mv, score, best, left = mask, 0, m, min(m, most + 1), len(text)
     get = pattern_bits.get
     for ch in text:
         eq = get(ch, 0)
