@@ -1,0 +1,18 @@
+"""Queries that SQL can express give the rows of their SQL."""
+
+import duckdb
+import pytest
+
+from pixelloom.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = QUERIES[name](spark, sf)
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    pick = lambda names, rows: sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in rows), key=repr)
+    assert pick(got.columns, got.collect()) == pick(columns, want.fetchall())
