@@ -187,7 +187,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         seen = tuple(mark)
         step += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that the join reads both sides and can deal out a hub to several tasks
+        least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least-{step}")
         large = (
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
@@ -196,7 +197,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = small.select(F.col("b").alias("x"), F.col("m")).unionByName(low.select(F.col("a").alias("x"), F.col("m")))
         small = small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
         after = scratch.save(small, f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-least-{step}")
         now = after
     pairs = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("id"), F.col("component")).distinct())

@@ -220,7 +220,14 @@ def _windows(width: int, rounds: int):
             at = np.concatenate([x for _, x in out])
             row = np.repeat([i for i, _ in out], [len(x) for _, x in out])
             h, g = _double_hash(hashes, at, at + width)
-            yield pa.record_batch([pa.array(h), pa.array(g), pa.array(docs[row], pa.int64()), pa.array((at - first[row]).astype(np.int32))], ["h", "g", "d", "s"])
+            # a window that a document has many times is one row with its places
+            order = np.lexsort((g, h, row))
+            at, row, h, g = at[order], row[order], h[order], g[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            bounds = np.append(np.flatnonzero(new), len(at)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(bounds), pa.array((at - first[row]).astype(np.int32)))
+            yield pa.record_batch([pa.array(h[new]), pa.array(g[new]), pa.array(docs[row[new]], pa.int64()), places], ["h", "g", "d", "s"])
 
     return run
 
@@ -244,10 +251,16 @@ def _kept(words: Words, lists: list[pa.Array], width: int) -> tuple[np.ndarray,
     return count, removed, texts
 
 
-def _earlier(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """(keys, least) of keys under several d, written: a join with a table that is read can deal
+    out a key of very many rows to several tasks, one with an aggregation can't."""
+    low = rows.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most")
+    return scratch.save(low.select(*keys, "least"), name)
+
+
+def _earlier(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows of (h, g, d, ...) whose content (h, g) is also under a smaller d."""
-    low = rows.groupBy("h", "g").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h", "g", "low")
-    return rows.join(low, ["h", "g"]).where("d > low")
+    return rows.join(_shared(rows, ["h", "g"], scratch, name), ["h", "g"]).where("d > least")
 
 
 def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -255,19 +268,20 @@ def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds:
     (d, starts) one by one, and (d, low, high) for all windows that start in low..high."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     longs = scratch.save(rows.mapInArrow(_longs(width), "h long, g int, d long, s int, e int"), "longs")
-    settled = _earlier(longs).groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    settled = _earlier(longs, scratch, "low-longs").groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     settled = scratch.save(settled.select("d", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
-    scratch.drop("longs")
+    scratch.drop("longs", "low-longs")
     symbols = scratch.save(rows.mapInArrow(_symbols(width, rounds), "k long, d long"), "symbols")
-    shared = symbols.groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("k")
+    shared = _shared(symbols, ["k"], scratch, "shared").select("k")
     own = scratch.save(symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys")), "keys")
-    scratch.drop("symbols")
+    scratch.drop("symbols", "shared")
     found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), "doc_id", "left")
     found = found.select("doc_id", "text", "keys", "low", "high")
-    windows = scratch.save(found.mapInArrow(_windows(width, rounds), "h long, g int, d long, s int"), "windows")
+    windows = scratch.save(found.mapInArrow(_windows(width, rounds), "h long, g int, d long, s array<int>"), "windows")
     scratch.drop("keys")
-    later = scratch.save(_earlier(windows).groupBy("d").agg(F.collect_list("s").alias("starts")), "later")
-    scratch.drop("windows")
+    later = _earlier(windows, scratch, "low-windows").groupBy("d").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    later = scratch.save(later, "later")
+    scratch.drop("windows", "low-windows")
     return later, settled
 
 
