@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass works on; a longer single text is one pass.
 CHUNK_BYTES = 1 << 20
 
+#: Rows that go to Python at a time: whole texts are long, and each task holds a batch in the
+#: JVM and one in Python.
+BATCH_ROWS = 1000
+
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -164,9 +168,17 @@ def word_lists(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
             yield chunk, Words(chunk.column(column))
 
 
-def documents_view(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever else the table has."""
-    return df.select(*[F.col(c) for c in columns])
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows, with unused memory given back at the end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(wrapped, schema)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_arrow
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
@@ -156,7 +156,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
                 edits = pa.array([[e for _, e in f] for f in found], pa.list_(pa.int64()))
                 yield pa.record_batch([*batch.columns[:-2], ids, edits], columns)
 
-        return rows.mapInArrow(run, schema)
+        return in_arrow(rows, run, schema)
 
     for k, block in enumerate(_blocks(benchmark)):
         if k:  # one block's automaton is in memory at a time

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, least_labels, list_column
+from .common import Scratch, grouped, in_arrow, list_column
 from .jaccard import finish
 
 THRESHOLD = 0.95
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         sample = near.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("vector").toArrow()
         index = fit(unit_vectors(sample.column(0).combine_chunks(), width), lengths["count"], threshold, recall)
     held = spark.sparkContext.broadcast((index, width))  # at most 2 x MOST_CODES codewords
-    filed = reps.mapInArrow(_file(held), "cell long, id long, copies long, home long, filed boolean, visits array<long>, vector array<double>")
+    filed = in_arrow(reps, _file(held), "cell long, id long, copies long, home long, filed boolean, visits array<long>, vector array<double>")
     filed = scratch.save(filed, "filed")
     blocks = filed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = filed.join(blocks, "cell").withColumnRenamed("cell", "component")
@@ -227,7 +227,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     pairs = members.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     pairs = pairs.select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "copies", "block", "home", "filed", "visits", "vector")
     pairs = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = scratch.save(pairs.mapInArrow(_verify(threshold), "id long, links long, root long"), "found")
+    found = scratch.save(in_arrow(pairs, _verify(threshold), "id long, links long, root long"), "found")
     scratch.drop("filed")
     out = finish(each, ["f", "g"], classes, found, scratch, "vec_id", rows)
     return out.select("vec_id", "n_links", F.col("class_id").alias("component_id"), "kept")

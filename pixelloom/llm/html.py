@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Lines of a window.
 BLOCK = 3
 #: A region is kept if it has this share of the largest region's text.
@@ -181,4 +183,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(rows, run, "page_id long, url string, text string, n_chars long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, components, grouped, least_labels, list_column, mix, ranged_hash, WORD_BASE, WORD_INV, word_lists
+from .common import U64, Scratch, Words, components, grouped, in_arrow, least_labels, list_column, mix, ranged_hash, WORD_BASE, WORD_INV, word_lists
 
 #: Words of an n-gram.
 GRAM = 5
@@ -191,7 +191,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, reca
     scratch = Scratch(documents.sparkSession, "jaccard")
     bands, rows = choose_bands(threshold, recall, hashes)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = texts.where("doc_id is not null").mapInArrow(_signatures(bands, rows, n), "doc_id long, n long, f long, g long, bands array<long>")
+    signed = in_arrow(texts.where("doc_id is not null"), _signatures(bands, rows, n), "doc_id long, n long, f long, g long, bands array<long>")
     signed = scratch.save(signed, "signed")
     each = signed.groupBy("doc_id").agg(F.min(F.struct("f", "g", "n")).alias("s")).select("doc_id", "s.*")
     classes = each.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
@@ -206,8 +206,8 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, reca
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
     members = sized.join(blocks, "component").select("component", "id", "copies", "blocks", "f", "g")
     full = texts.join(members, texts.doc_id == members.id).select("text", "component", "id", "copies", "blocks", "f", "g")
-    sets = full.mapInArrow(_sets(n), "component long, id long, copies long, blocks long, grams array<long>")
-    found = in_blocks(sets, "grams").mapInArrow(_verify(threshold), "id long, links long, root long")
+    sets = in_arrow(full, _sets(n), "component long, id long, copies long, blocks long, grams array<long>")
+    found = in_arrow(in_blocks(sets, "grams"), _verify(threshold), "id long, links long, root long")
     found = scratch.save(found, "found")
     return finish(each.withColumn("lone", F.col("n") == 0), ["f", "g", "n"], classes, found, scratch, "doc_id", texts)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers, text_chunks
+from .common import in_arrow, text_buffers, text_chunks
 
 #: Bytes of a window.
 WINDOW = 128
@@ -234,7 +234,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 yield pa.record_batch([chunk.column(0), pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _has_letter())
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_arrow(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
@@ -248,4 +248,4 @@ def keep_identified(documents: DataFrame, model: LanguageModel, least: float = L
                 lang, best = _judge(held.value, chunk.column("text"), chunk.column("_letter"))
                 yield chunk.filter(pa.array((lang != UNKNOWN) & (best >= least))).select(columns)
 
-    return documents.select("*", _has_letter()).mapInArrow(run, documents.schema)
+    return in_arrow(documents.select("*", _has_letter()), run, documents.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_chunks, Words
+from .common import Scratch, Words, in_arrow, text_chunks
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -48,7 +48,7 @@ def sizes(documents: DataFrame) -> DataFrame:
                 yield pa.record_batch([chunk.column(0), chunk.column(1), pa.array(count, pa.int64())], ["doc_id", "source", "size"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    return in_arrow(rows, run, "doc_id long, source string, size long")
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

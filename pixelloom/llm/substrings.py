@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OTHER_BASE, OTHER_INV, U64, WORD_BASE, WORD_INV, Scratch, Words, mix, ranged_hash, word_lists
+from .common import OTHER_BASE, OTHER_INV, U64, WORD_BASE, WORD_INV, Scratch, Words, in_arrow, mix, ranged_hash, word_lists
 
 #: Words of a window.
 WINDOW = 13
@@ -267,17 +267,17 @@ def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds:
     """Windows whose words also start in a document with a smaller doc_id, as word places:
     (d, starts) one by one, and (d, low, high) for all windows that start in low..high."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    longs = scratch.save(rows.mapInArrow(_longs(width), "h long, g int, d long, s int, e int"), "longs")
+    longs = scratch.save(in_arrow(rows, _longs(width), "h long, g int, d long, s int, e int"), "longs")
     settled = _earlier(longs, scratch, "low-longs").groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     settled = scratch.save(settled.select("d", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
     scratch.drop("longs", "low-longs")
-    symbols = scratch.save(rows.mapInArrow(_symbols(width, rounds), "k long, d long"), "symbols")
+    symbols = scratch.save(in_arrow(rows, _symbols(width, rounds), "k long, d long"), "symbols")
     shared = _shared(symbols, ["k"], scratch, "shared").select("k")
     own = scratch.save(symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys")), "keys")
     scratch.drop("symbols", "shared")
     found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), "doc_id", "left")
     found = found.select("doc_id", "text", "keys", "low", "high")
-    windows = scratch.save(found.mapInArrow(_windows(width, rounds), "h long, g int, d long, s array<int>"), "windows")
+    windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, s array<int>"), "windows")
     scratch.drop("keys")
     later = _earlier(windows, scratch, "low-windows").groupBy("d").agg(F.flatten(F.collect_list("s")).alias("starts"))
     later = scratch.save(later, "later")
@@ -305,7 +305,7 @@ def dedup(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> Da
             yield pa.record_batch([chunk.column(0), pa.array(count, pa.int64()), pa.array(removed), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     rows = _with_repeats(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, rounds)
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return in_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def rewrite(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -324,7 +324,7 @@ def rewrite(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) ->
             whole = pa.record_batch([fresh.get(c, chunk.column(c)) for c in columns], columns)
             yield whole.filter(pa.array((removed < count) | (count == 0)))
 
-    return _with_repeats(documents, width, rounds).mapInArrow(run, documents.schema)
+    return in_arrow(_with_repeats(documents, width, rounds), run, documents.schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

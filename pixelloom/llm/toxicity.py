@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Lengths of character n-grams.
 ORDERS = (4, 5)
 #: Hash table entries for each length.
@@ -155,4 +157,5 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = [held.value.score(x.as_py()) for x in texts]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return in_arrow(rows, run, "doc_id long, score double")

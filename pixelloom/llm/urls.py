@@ -25,6 +25,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Labelled rows that a combination must be in: this share of them, and at least so many.
 SUPPORT = 0.002
 LEAST_ROWS = 10
@@ -85,7 +87,7 @@ def _tokens_frame(urls: DataFrame, *keep: str) -> DataFrame:
             own = pa.array([tokens(x.as_py()) for x in batch.column(len(keep))], pa.list_(pa.string()))
             yield pa.record_batch([*batch.columns[: len(keep)], own], [*keep, "tokens"])
 
-    return urls.select(*keep, "url").mapInArrow(run, schema)
+    return in_arrow(urls.select(*keep, "url"), run, schema)
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_ROWS) -> DataFrame:
@@ -152,7 +154,7 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
                 best = [max((c.as_py(), b.as_py()), index.best(tokens(u.as_py()))) for u, c, b in zip(*batch.columns[1:], strict=True)]
                 yield pa.record_batch([*batch.columns[:2], pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.bool_())], [key, "url", "confidence", "blocks"])
 
-        return rows.mapInArrow(run, f"{key} long, url string, confidence double, blocks boolean")
+        return in_arrow(rows, run, f"{key} long, url string, confidence double, blocks boolean")
 
     for row in ordered.toLocalIterator():
         block.append((list(row.tokens), bool(row.bad), float(row.confidence)))
