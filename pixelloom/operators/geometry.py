@@ -1,8 +1,8 @@
 """Cropping and resampling.
 
-Resampling joins pixels to small tap tables keyed by image width or height: one row for each
-output column (or row) and tap.  Nearest is two joins; bilinear is two joins, each with a
-group-by that shares the images' partitioning, so pixels move once.
+A pixel knows by arithmetic which output columns and rows it counts in, so resampling expands
+pixels in place.  Nearest moves nothing; bilinear moves pixels once, by image, and both its
+group-bys share that partitioning.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..errors import natural, positive_int, require
 from ..functions.exprs import jround
 from ..sources.images import PIXEL
 
-#: Up to so many rows a tap table is broadcast.
+#: Up to so many rows a mask's tap table is broadcast.
 BROADCAST_TAPS = 1_000_000
 
 
@@ -44,45 +44,43 @@ def has_transparency(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.min("a") < 255).alias("has_alpha"))
 
 
-def _taps(pixels: DataFrame, axis: str, size: int) -> DataFrame:
-    """(size_in, o, s, w): source place s counts w 256ths in output place o, for every input size."""
-    sizes = pixels.select(F.col(axis).alias("size_in")).distinct()
-    o = sizes.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    scale = F.col("size_in").cast("double") / F.lit(float(size))
-    at = F.greatest(F.lit(0.0), (F.col("o") + F.lit(0.5)) * scale - F.lit(0.5))
-    o = o.withColumn("at", at).withColumn("low", F.least(F.col("size_in") - 1, F.floor("at").cast("int")))
-    o = o.withColumn("f", F.floor((F.col("at") - F.col("low")) * F.lit(256.0)).cast("int"))
-    both = F.explode(F.array(F.struct(F.col("low").alias("s"), (256 - F.col("f")).alias("w")), F.struct(F.least(F.col("size_in") - 1, F.col("low") + 1).alias("s"), F.col("f").alias("w"))))
-    return o.select("size_in", "o", both.alias("t")).select("size_in", "o", "t.s", "t.w")
-
-
-def _joined(pixels: DataFrame, taps: DataFrame, size: int, axis: str, place: str) -> DataFrame:
-    """Each size_in has 2 * size rows, so few sizes are a small table; many are left to the planner."""
-    kinds = taps.select("size_in").distinct().limit(BROADCAST_TAPS // (2 * size) + 1).count()
-    side = F.broadcast(taps) if kinds * 2 * size <= BROADCAST_TAPS else taps
-    return pixels.join(side, (F.col(axis) == F.col("size_in")) & (F.col(place) == F.col("s")))
+def _weighted(rows: DataFrame, axis: str, place: str, size: int) -> DataFrame:
+    """Every pixel once for each output place o that it counts in, with w 256ths."""
+    n, s = F.col(axis), F.col(place)
+    scale = n.cast("double") / F.lit(float(size))
+    half = F.lit(0.5)
+    # a range that surely holds the places whose taps are s; the exact taps decide below
+    low = F.greatest(F.lit(0), F.floor((s - half) / scale - half).cast("int") - 1)
+    high = F.least(F.lit(size - 1), F.ceil((s + F.lit(1.5)) / scale - half).cast("int") + 1)
+    rows = rows.withColumn("o", F.explode(F.sequence(low, high)))
+    at = F.greatest(F.lit(0.0), (F.col("o") + half) * scale - half)
+    rows = rows.withColumn("at", at).withColumn("tap", F.least(n - 1, F.floor("at").cast("int")))
+    rows = rows.withColumn("f", F.floor((F.col("at") - F.col("tap")) * F.lit(256.0)).cast("int"))
+    first, second = F.col("tap") == s, F.least(n - 1, F.col("tap") + 1) == s
+    w = F.when(first, 256 - F.col("f")).otherwise(0) + F.when(second, F.col("f")).otherwise(0)
+    return rows.where(first | second).withColumn("w", w).drop("at", "tap", "f")
 
 
 def resize_bilinear(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """8-bit bilinear: horizontal pass, rounded to bytes, then vertical pass, rounded again."""
     positive_int(width, "width"), positive_int(height, "height")
     mean = lambda c: F.shiftright(F.sum(F.col(c) * F.col("w")) + 128, 8).cast("int").alias(c)
-    rows = pixels.repartition("image_id")
-    rows = _joined(rows, _taps(pixels, "width", width), width, "width", "x")
+    rows = _weighted(pixels.repartition("image_id"), "width", "x", width)
     rows = rows.groupBy("image_id", "height", "y", "o").agg(*[mean(c) for c in "rgba"]).withColumnRenamed("o", "x")
-    rows = _joined(rows, _taps(pixels, "height", height), height, "height", "y")
+    rows = _weighted(rows, "height", "y", height)
     rows = rows.groupBy("image_id", "x", "o").agg(*[mean(c) for c in "rgba"])
     return rows.select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "x", F.col("o").alias("y"), *"rgba")
 
 
 def resize_nearest(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Every output place takes one source pixel; no pixel is shuffled where the tap tables are small."""
+    """Every output place takes one source pixel: place s goes to ceil(s * out / in) and on, up to
+    where the next one starts."""
     positive_int(width, "width"), positive_int(height, "height")
     rows = pixels
     for axis, place, size in (("width", "x", width), ("height", "y", height)):
-        o = pixels.select(F.col(axis).alias("size_in")).distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        taps = o.select("size_in", "o", F.least(F.col("size_in") - 1, F.floor(F.col("o") * F.col("size_in") / F.lit(float(size))).cast("int")).alias("s"))
-        rows = _joined(rows, taps, size, axis, place).drop(place, "size_in", "s").withColumnRenamed("o", place)
+        start = lambda s, n=F.col(axis), size=size: F.ceil(s.cast("long") * size / n).cast("int")
+        begin, end = start(F.col(place)), start(F.col(place) + 1)
+        rows = rows.where(end > begin).withColumn(place, F.explode(F.sequence(begin, end - 1)))
     return rows.withColumns({"width": F.lit(width), "height": F.lit(height)}).select(PIXEL)
 
 
