@@ -222,6 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     filed = in_arrow(reps, _file(held), "cell long, id long, copies long, home long, filed boolean, visits array<long>, vector array<double>")
     filed = scratch.save(filed, "filed")
     blocks = filed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = scratch.save(blocks, "blocks")  # written, so that a cell of very many is dealt out to several tasks
     members = filed.join(blocks, "cell").withColumnRenamed("cell", "component")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = members.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))

@@ -198,13 +198,15 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, reca
     classes = scratch.save(classes, "classes")
     banded = signed.withColumnRenamed("doc_id", "id").join(classes, ["id", "f", "g", "n"]).select("id", F.explode("bands").alias("band"))
     banded = scratch.save(banded.distinct(), "banded")
+    # written like every table that meets its own sums: the join can then deal out a band of very many
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").select("band", "low")
+    shared = scratch.save(shared, "shared")
     edges = banded.join(shared, "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     grouped_ids = scratch.save(components(edges, scratch, "candidates"), "grouped")
-    scratch.drop("banded")
+    scratch.drop("banded", "shared")
     sized = grouped_ids.join(classes, "id")
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
-    members = sized.join(blocks, "component").select("component", "id", "copies", "blocks", "f", "g")
+    members = sized.join(scratch.save(blocks, "blocks"), "component").select("component", "id", "copies", "blocks", "f", "g")
     full = texts.join(members, texts.doc_id == members.id).select("text", "component", "id", "copies", "blocks", "f", "g")
     sets = in_arrow(full, _sets(n), "component long, id long, copies long, blocks long, grams array<long>")
     found = in_arrow(in_blocks(sets, "grams"), _verify(threshold), "id long, links long, root long")
