@@ -2,10 +2,16 @@
 
 Markup is stripped into lines, one for each block of text, in page order.  A line's length
 is its number of characters, or 0 if it is page furniture: inside elements that are never
-article text (menus, forms, scripts, ...), inside elements whose class or id says so, mostly
-links, or outside the article element where the page has one.  Over windows of BLOCK lines
-the lengths are summed.  A region starts where the sums surge above nothing and ends where
-they dive to nothing; the regions with enough of the page's text are kept, whole.
+article text (menus, forms, scripts, ...), inside elements whose class or id says so, or mostly
+links.  Over windows of BLOCK lines the lengths are summed.  A region starts where the sums
+surge above nothing and ends where they dive to nothing; the regions with enough of the
+page's text are kept, whole.
+
+An article or main element is a hint.  Its text is kept, mostly links or not; of the text
+outside, the regions whose sums reach SURGE are kept, and those that share with one of them
+a container without text of the hint.  Where the regions that reach SURGE outside have more
+text than the hint has, the hint is void (side cards are articles too) and the page is read
+as one without it.
 
 Defined results: a null or empty page has the text ``""``; so has one without any text.
 Unclosed and cut-off markup is read as far as it goes.  Rows are independent, so repeated
@@ -26,6 +32,8 @@ from .common import in_arrow
 
 #: Lines of a window.
 BLOCK = 3
+#: Sum of a window that makes text outside a hint a region of its own: the method's published threshold.
+SURGE = 86
 #: A region is kept if it has this share of the largest region's text.
 SHARE = 0.3
 #: A line is furniture if this share of it, or more, is link text.
@@ -75,19 +83,20 @@ def _is_furniture(name: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, link characters, furniture, in an article) of every non-empty line."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
+    """(text, link characters, furniture, in an article, element) of every non-empty line; parents of elements."""
+    out: list[tuple[str, int, bool, bool, int]] = []
+    parents = [0]  # element 0 is the page; parents come before their children
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, link
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, furniture, article, link, element
     bad, inside, link = False, False, False
 
     def flush() -> None:
         nonlocal linked, parts
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, bad, inside))
+            out.append((text, linked, bad, inside, stack[-1][4] if stack else 0))
         parts, linked = [], 0
 
     def settle() -> None:
@@ -142,9 +151,51 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             while stack and stack[-1][0] in closes:
                 stack.pop()
         furniture = _is_furniture(name, attrs) or name in EDGES and not inside
-        stack.append((name, furniture, name in ("article", "main") or "articlebody" in attrs.lower(), name == "a"))
+        parents.append(stack[-1][4] if stack else 0)
+        stack.append((name, furniture, name in ("article", "main") or "articlebody" in attrs.lower(), name == "a", len(parents) - 1))
         settle()
     flush()
+    return out, parents
+
+
+def _regions(length: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, end, highest sum of a window) of every region."""
+    regions, start, high = [], None, 0
+    for i in range(len(length) + 1):
+        total = sum(length[i : i + BLOCK])
+        if total:
+            start, high = (i, total) if start is None else (start, max(high, total))  # surge
+        elif start is not None:
+            regions.append((start, i, high))  # dive
+            start = None
+    return regions
+
+
+def _beside_hint(length: list[int], hint: list[int], element: list[int], parents: list[int]) -> list[int] | None:
+    """Lengths of the lines outside the hint that are kept, the others 0; None if the hint is void."""
+    regions = _regions(length)
+    surging = [(a, b) for a, b, high in regions if high >= SURGE]
+    if sum(sum(length[a:b]) for a, b in surging) > sum(hint):
+        return None
+    hinted = {0}  # elements with text of the hint
+    for e, n in zip(element, hint, strict=True):
+        while n and e not in hinted:
+            hinted.add(e)
+            e = parents[e]
+    held: set[int] = set()
+    for a, b in surging:
+        for i in range(a, b):
+            e = element[i]
+            while length[i] and e not in hinted and e not in held:
+                held.add(e)
+                e = parents[e]
+    joined = [False] * len(parents)  # inside an element of held
+    for e in range(1, len(parents)):
+        joined[e] = e in held or joined[parents[e]]
+    out = [0] * len(length)
+    for a, b, high in regions:
+        if high >= SURGE or any(length[i] and joined[element[i]] for i in range(a, b)):
+            out[a:b] = length[a:b]
     return out
 
 
@@ -152,25 +203,18 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks, joined by one space."""
     if not page:
         return ""
-    found = lines(page)
-    scoped = any(inside and not furniture for _, _, furniture, inside in found)
-    length = [
-        0 if furniture or scoped and not inside or not scoped and linked >= LINKS * len(text) else len(text)
-        for text, linked, furniture, inside in found
-    ]
-    sums = [sum(length[i : i + BLOCK]) for i in range(len(length))]
-    regions, start = [], None
-    for i, total in enumerate(sums):
-        if total and start is None:
-            start = i  # surge
-        elif not total and start is not None:
-            regions.append((start, i))  # dive
-            start = None
-    if start is not None:
-        regions.append((start, len(sums)))
-    weight = [sum(length[a:b]) for a, b in regions]
-    least = 0 if scoped else SHARE * max(weight, default=0)
-    kept = [found[i][0] for (a, b), w in zip(regions, weight, strict=True) if w >= least for i in range(a, b) if length[i]]
+    found, parents = lines(page)
+    length = [0 if furniture or linked >= LINKS * len(text) else len(text) for text, linked, furniture, _, _ in found]
+    hint = [len(text) if inside and not furniture else 0 for text, _, furniture, inside, _ in found]
+    if any(hint):
+        outside = [0 if inside else n for n, (_, _, _, inside, _) in zip(length, found, strict=True)]
+        beside = _beside_hint(outside, hint, [element for *_, element in found], parents)
+        if beside is not None:
+            return " ".join(line[0] for line, n, m in zip(found, hint, beside, strict=True) if n or m)
+    regions = _regions(length)
+    weight = [sum(length[a:b]) for a, b, _ in regions]
+    least = SHARE * max(weight, default=0)
+    kept = [found[i][0] for (a, b, _), w in zip(regions, weight, strict=True) if w >= least for i in range(a, b) if length[i]]
     return " ".join(kept)
 
 

@@ -371,6 +371,22 @@ def test_html(page, want):
     assert html.main_text(page) == want
 
 
+def test_html_article_is_a_hint(monkeypatch):
+    body = [f"Paragraph {i} of the story that stands in plain containers of the page." for i in range(6)]
+    story = "<div><h1>Headline</h1>" + "".join(f"<p>{p}</p>" for p in body) + "</div>"
+    cards = "<div>" + "".join(f"<article><p>Card {i}</p></article>" for i in range(3)) + "</div>"
+    for page in (story + cards, cards + story):
+        got = html.main_text(page)
+        assert " ".join(["Headline", *body]) in got
+    # text beside an article stays where it surges, with the parts of its container
+    ads = "<div class=ad><p>a</p><p>b</p><p>c</p></div>"
+    more = f"<div><h2>More</h2>{ads}<p>{body[0]}</p><p>{body[1]}</p></div>"
+    page = "<article>" + "".join(f"<p>{p}</p>" for p in body) + f"</article>{ads}<div>Advert</div>{ads}{more}"
+    assert html.main_text(page) == " ".join([*body, "More", *body[:2]])
+    monkeypatch.setattr(html, "BLOCK", 1)  # no window reaches the threshold
+    assert html.main_text(page) == " ".join(body)
+
+
 def test_html_pages(spark, sf):
     import html as entities
 
