@@ -5,7 +5,8 @@ token combinations of labelled URLs together with the label as one more item; ru
 ``combination -> label`` that pass the support and confidence bounds are kept, and of those
 no rule that a smaller combination with at least its confidence already gives.  Rules are
 matched through an inverted index: each is filed under its rarest token, so a URL only looks
-at rules filed under its own tokens.
+at rules filed under its own tokens.  Of the mined rules of both labels that fit, the one with
+the highest confidence decides, then the one with most tokens, then bad before good.
 
 Explicit rules come first; among those that fit, the longest wins.
 
@@ -128,21 +129,27 @@ class Index:
             key = min(parts, key=lambda t: (uses[t], t))
             self.filed.setdefault(key, []).append((frozenset(parts), bad, confidence))
 
-    def best(self, own: list[str]) -> tuple[float, bool]:
-        """(confidence, blocks) of the strongest rule that fits; (0, False) without one."""
-        have, top = set(own), (0.0, False)
+    def strongest(self, own: list[str]) -> tuple[float, int, bool]:
+        """(confidence, tokens, blocks) of the strongest rule that fits; (0, 0, False) without one."""
+        have, top = set(own), (0.0, 0, False)
         for t in own:
             for parts, bad, confidence in self.filed.get(t, ()):
                 if parts <= have:
-                    top = max(top, (confidence, bad))
+                    top = max(top, (confidence, len(parts), bad))
         return top
 
+    def best(self, own: list[str]) -> tuple[float, bool]:
+        """(confidence, blocks) of the strongest rule that fits; (0, False) without one."""
+        confidence, _, blocks = self.strongest(own)
+        return confidence, blocks
+
 
 def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, url, confidence, blocks) for every row of urls (key, url): what the mined rules say."""
+    """(key, url, confidence, blocks) for every row of urls (key, url): what the mined rules of both labels say."""
     spark = urls.sparkSession
-    ordered = rules.select("tokens", "bad", "confidence").where(F.col("bad"))
-    out = urls.select(F.col(key).cast("long").alias(key), F.col("url").cast("string").alias("url"), F.lit(0.0).alias("confidence"), F.lit(False).alias("blocks"))
+    ordered = rules.select("tokens", "bad", "confidence")
+    start = (F.lit(0.0).alias("confidence"), F.lit(0).alias("size"), F.lit(False).alias("blocks"))
+    out = urls.select(F.col(key).cast("long").alias(key), F.col("url").cast("string").alias("url"), *start)
     block: list = []
 
     def passed(rows: DataFrame, part: list) -> DataFrame:
@@ -151,16 +158,18 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(held.value)
             for batch in batches:
-                best = [max((c.as_py(), b.as_py()), index.best(tokens(u.as_py()))) for u, c, b in zip(*batch.columns[1:], strict=True)]
-                yield pa.record_batch([*batch.columns[:2], pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.bool_())], [key, "url", "confidence", "blocks"])
+                best = [max((c.as_py(), n.as_py(), b.as_py()), index.strongest(tokens(u.as_py()))) for u, c, n, b in zip(*batch.columns[1:], strict=True)]
+                found = [pa.array([x[i] for x in best], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.bool_()))]
+                yield pa.record_batch([*batch.columns[:2], *found], [key, "url", "confidence", "size", "blocks"])
 
-        return in_arrow(rows, run, f"{key} long, url string, confidence double, blocks boolean")
+        return in_arrow(rows, run, f"{key} long, url string, confidence double, size int, blocks boolean")
 
     for row in ordered.toLocalIterator():
         block.append((list(row.tokens), bool(row.bad), float(row.confidence)))
         if len(block) >= BLOCK_RULES:
             out, block = passed(out, block), []
-    return passed(out, block) if block else out
+    out = passed(out, block) if block else out
+    return out.drop("size")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[Rule]) -> DataFrame:

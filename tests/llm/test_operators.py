@@ -92,6 +92,22 @@ def test_url_index_equals_scan():
         assert urls.Index(rules).best(own) == want
 
 
+def test_urls_strongest_rule_of_either_label(spark, monkeypatch):
+    rows = [(f"http://x{i}.com/win/{i}", i < 150) for i in range(150)] + [(f"http://ok.com/win/{i}", False) for i in range(49)]
+    rows += [("http://ok.com/win/a", True)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = {(tuple(sorted(r.tokens)), r.bad): r.confidence for r in urls.mine(labelled).collect()}
+    assert mined[("p:win",), True] == 151 / 200 and mined[("h:ok",), False] == 49 / 50
+    pages = spark.createDataFrame([(1, "http://ok.com/win/"), (2, "http://no.com/win/"), (3, "http://ok.com/")], "page_id long, url string")
+    for block in (50_000, 1):
+        monkeypatch.setattr(urls, "BLOCK_RULES", block)
+        got = {r.page_id: (r.verdict, r.confidence) for r in urls.filter_urls(pages, labelled, []).collect()}
+        assert got == {1: ("allow", 0.98), 2: ("block", 0.755), 3: ("allow", 0.98)}
+    # equal confidence: more tokens decide, then bad before good
+    assert urls.Index([(["a"], True, 0.8), (["a", "b"], False, 0.8)]).best(["a", "b"]) == (0.8, False)
+    assert urls.Index([(["a"], False, 0.8), (["b"], True, 0.8)]).best(["a", "b"]) == (0.8, True)
+
+
 # 2 Substring dedup -----------------------------------------------------------------------------
 
 
