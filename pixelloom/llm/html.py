@@ -2,10 +2,14 @@
 
 Markup is stripped into lines, one for each block of text, in page order.  A line's length
 is its number of characters, or 0 if it is page furniture: inside elements that are never
-article text (menus, forms, scripts, ...), inside elements whose class or id says so, or mostly
-links.  Over windows of BLOCK lines the lengths are summed.  A region starts where the sums
-surge above nothing and ends where they dive to nothing; the regions with enough of the
-page's text are kept, whole.
+article text (menus, forms, scripts, ...), inside elements whose class or id says so, or in a
+list of links.  Over windows of BLOCK lines the lengths are summed.  A region starts where the
+sums surge above nothing and ends where they dive to nothing.  Without a hint every region is
+kept, however short: an article may be divided by adverts into parts of any size.
+
+A line that is mostly links is in a list of links if the smallest element that holds it and
+another line is mostly links too, or if a window holds nothing but such lines of that element.
+Other such lines are a part of the text.
 
 An article or main element is a hint.  Its text is kept, mostly links or not; of the text
 outside, the regions whose sums reach SURGE are kept, and those that share with one of them
@@ -34,9 +38,7 @@ from .common import in_arrow
 BLOCK = 3
 #: Sum of a window that makes text outside a hint a region of its own: the method's published threshold.
 SURGE = 86
-#: A region is kept if it has this share of the largest region's text.
-SHARE = 0.3
-#: A line is furniture if this share of it, or more, is link text.
+#: A line or element is mostly links if this share of its text, or more, is link text.
 LINKS = 0.6
 
 # Element and class names with their meaning in HTML and on common pages.
@@ -171,6 +173,36 @@ def _regions(length: list[int]) -> list[tuple[int, int, int]]:
     return regions
 
 
+def _listed(found: list[tuple[str, int, bool, bool, int]], parents: list[int]) -> list[bool]:
+    """Whether each line is in a list of links."""
+    count, chars, links = ([0] * len(parents) for _ in range(3))  # of an element: lines, characters, link characters
+    mostly = []
+    for text, linked, furniture, _, e in found:
+        mostly.append(not furniture and linked >= LINKS * len(text))
+        if not furniture:
+            count[e] += 1
+            chars[e] += len(text)
+            links[e] += linked
+    for e in range(len(parents) - 1, 0, -1):
+        count[parents[e]] += count[e]
+        chars[parents[e]] += chars[e]
+        links[parents[e]] += links[e]
+    out = [False] * len(found)
+    run, group = 0, 0  # of lines that are mostly links in the same element
+    for i, is_link in enumerate(mostly):
+        if not is_link:
+            run = 0
+            continue
+        e = found[i][4]
+        while e and count[e] == 1:
+            e = parents[e]
+        run, group = (run + 1 if e == group else 1), e
+        if run >= BLOCK:
+            out[i - BLOCK + 1 : i + 1] = [True] * BLOCK
+        out[i] = out[i] or links[e] >= LINKS * chars[e]
+    return out
+
+
 def _beside_hint(length: list[int], hint: list[int], element: list[int], parents: list[int]) -> list[int] | None:
     """Lengths of the lines outside the hint that are kept, the others 0; None if the hint is void."""
     regions = _regions(length)
@@ -204,18 +236,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, parents = lines(page)
-    length = [0 if furniture or linked >= LINKS * len(text) else len(text) for text, linked, furniture, _, _ in found]
+    length = [0 if furniture or listed else len(text) for (text, _, furniture, _, _), listed in zip(found, _listed(found, parents), strict=True)]
     hint = [len(text) if inside and not furniture else 0 for text, _, furniture, inside, _ in found]
     if any(hint):
         outside = [0 if inside else n for n, (_, _, _, inside, _) in zip(length, found, strict=True)]
         beside = _beside_hint(outside, hint, [element for *_, element in found], parents)
         if beside is not None:
             return " ".join(line[0] for line, n, m in zip(found, hint, beside, strict=True) if n or m)
-    regions = _regions(length)
-    weight = [sum(length[a:b]) for a, b, _ in regions]
-    least = SHARE * max(weight, default=0)
-    kept = [found[i][0] for (a, b, _), w in zip(regions, weight, strict=True) if w >= least for i in range(a, b) if length[i]]
-    return " ".join(kept)
+    return " ".join(found[i][0] for a, b, _ in _regions(length) for i in range(a, b) if length[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

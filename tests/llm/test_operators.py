@@ -403,6 +403,23 @@ def test_html_article_is_a_hint(monkeypatch):
     assert html.main_text(page) == " ".join(body)
 
 
+def test_html_divided_article():
+    ads = "<div class=ad><p>a</p><p>b</p><p>c</p></div>"
+    related = "<ul>" + "".join(f"<li><a href=x>Other story {i}</a></li>" for i in range(4)) + "</ul>"
+    parts = ["Headline", "The long middle part of the story. " * 20, "It says:", "the whole report", "The closing words."]
+    a, b, c, d, e = (p.strip() for p in parts)
+    page = f"<div><h1>{a}</h1>{ads}<p>{b}</p><p>{c}</p><p><a href=x>{d}</a></p>{related}<p>{e}</p></div>"
+    assert html.main_text(page) == " ".join((a, b, c, d, e))
+    assert html.main_text(page.replace("div>", "section>")) == " ".join((a, b, c, d, e))
+    # parts in containers of their own
+    page = f"<div><h1>{a}</h1></div>{ads}<div><p>{b}</p></div>{related}<div><p>{e}</p></div>"
+    assert html.main_text(page) == " ".join((a, b, e))
+    # lists of links: by their container, or as a window of nothing else
+    menu = "".join(f"<div><a href=x>Menu {i}</a></div>" for i in range(3))
+    assert html.main_text(menu + f"<p>{b}</p>") == b
+    assert html.main_text(f"<p><a href=x>{d}</a></p>") == ""
+
+
 def test_html_pages(spark, sf):
     import html as entities
 
