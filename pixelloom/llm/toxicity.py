@@ -125,7 +125,8 @@ def train(documents: DataFrame, labels: DataFrame, where=None) -> ToxicityModel:
     """Fit on at most SAMPLE_ROWS rows of documents (doc_id, text) with labels (doc_id, toxic).
 
     ``where`` keeps rows off the sample (a held-out fold).  The rows are those with the
-    smallest hash of doc_id, so a rerun takes the same ones.
+    smallest hash of doc_id, so a rerun takes the same ones.  If they have more than SAMPLE_CHARS
+    characters, the longest are read up to a common limit; none is left out.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where("doc_id is not null")
@@ -135,16 +136,20 @@ def train(documents: DataFrame, labels: DataFrame, where=None) -> ToxicityModel:
     rows = (
         documents.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("doc_id"))
-        .withColumn("upto", F.sum(F.length("text")).over(_running())).where(F.col("upto") <= SAMPLE_CHARS)
-        .orderBy("h", "doc_id").select("text", "toxic").collect()
     )
-    return fit([r.text for r in rows], [r.toxic for r in rows])
-
-
-def _running():
-    from pyspark.sql import Window
-
-    return Window.orderBy("h", "doc_id")  # over the bounded sample only
+    longest = _level([r.n for r in rows.select(F.length("text").alias("n")).collect()], SAMPLE_CHARS)
+    sample = rows.select("h", "doc_id", F.substring("text", 1, longest).alias("text"), "toxic").orderBy("h", "doc_id").collect()
+    return fit([r.text for r in sample], [r.toxic for r in sample])
+
+
+def _level(sizes: list[int], most: int) -> int:
+    """The highest limit for which sizes, each cut to it, are at most ``most`` in all."""
+    rest = len(sizes)
+    for n in sorted(sizes):
+        if n * rest > most:
+            return most // rest
+        most, rest = most - n, rest - 1
+    return max(sizes, default=0)
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -217,6 +217,20 @@ def test_toxicity_held_out():
     assert (again.weights == model.weights).all()
 
 
+def test_toxicity_long_texts_leave_room(spark, monkeypatch):
+    texts = ["long " * 400] * 3 + [f"short text {i}" for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)))
+    toxicity.train(docs(spark, texts), labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1500)
+    toxicity.train(docs(spark, texts), labels)
+    (whole, marks), (cut, same) = seen
+    assert sorted(whole) == sorted(texts) and same == marks and sum(marks) == 21
+    limit = (1500 - sum(map(len, texts[3:]))) // 3
+    assert cut == [t[:limit] for t in whole] and sum(map(len, cut)) <= 1500
+
+
 def test_toxicity_tables(spark, sf, awkward):
     got = queries.op4_toxicity(spark, sf).collect()
     assert len(got) == read(spark, sf, "documents").count() and all(0 <= r.score <= 1 for r in got)
