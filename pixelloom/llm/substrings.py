@@ -21,7 +21,8 @@ their content.
 
 Defined results: null texts have no words.  A row with a null doc_id is returned, but is
 neither changed nor compared: it has no order.  Rows that repeat a doc_id are one
-document in several rows.  Extra columns are ignored.
+document in several rows, which are not compared with each other; what is found in a row's
+text is removed from the rows with that doc_id and text.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import OTHER_BASE, OTHER_INV, U64, WORD_BASE, WORD_INV, Scratch, Words, in_arrow, mix, ranged_hash, word_lists
@@ -153,11 +154,11 @@ def _longs(width: int):
             use = stop > start
             start, stop, text = start[use], stop[use], text[use]
             h, g = _double_hash(hashes, start, stop + width - 1)
-            docs = chunk.column(0).to_numpy(zero_copy_only=False)[text]
+            docs, prints = (chunk.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 2))
             base = first[text]
             yield pa.record_batch(
-                [pa.array(h), pa.array(g), pa.array(docs, pa.int64()), pa.array((start - base).astype(np.int32)), pa.array((stop - base).astype(np.int32))],
-                ["h", "g", "d", "s", "e"],
+                [pa.array(h), pa.array(g), pa.array(docs, pa.int64()), pa.array(prints, pa.int64()), pa.array((start - base).astype(np.int32)), pa.array((stop - base).astype(np.int32))],
+                ["h", "g", "d", "f", "s", "e"],
             )
 
     return run
@@ -206,7 +207,7 @@ def _windows(width: int, rounds: int):
             keys, key_at = _ranges(chunk.column(2))
             low, low_at = _ranges(chunk.column(3))
             high, _ = _ranges(chunk.column(4))
-            docs = chunk.column(0).to_numpy(zero_copy_only=False)
+            docs, prints = (chunk.column(c).to_numpy(zero_copy_only=False) for c in (0, 5))
             out = []
             for i in range(chunk.num_rows):
                 a, b = first[i], first[i + 1] - width + 1
@@ -227,7 +228,7 @@ def _windows(width: int, rounds: int):
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             bounds = np.append(np.flatnonzero(new), len(at)).astype(np.int32)
             places = pa.ListArray.from_arrays(pa.array(bounds), pa.array((at - first[row]).astype(np.int32)))
-            yield pa.record_batch([pa.array(h[new]), pa.array(g[new]), pa.array(docs[row[new]], pa.int64()), places], ["h", "g", "d", "s"])
+            yield pa.record_batch([pa.array(h[new]), pa.array(g[new]), pa.array(docs[row[new]], pa.int64()), pa.array(prints[row[new]], pa.int64()), places], ["h", "g", "d", "f", "s"])
 
     return run
 
@@ -243,8 +244,7 @@ def _kept(words: Words, lists: list[pa.Array], width: int) -> tuple[np.ndarray,
         at, part = one[one_at[i] : one_at[i + 1]], slice(low_at[i], low_at[i + 1])
         begin = np.concatenate([at, low[part]])
         end = np.concatenate([at + width, high[part] + width - 1])
-        fits = end <= n  # a row of another text under the same doc_id may be shorter
-        keep = ~_spread(begin[fits], end[fits], n)
+        keep = ~_spread(begin, end, n)
         removed[i] = n - int(keep.sum())
         a, b = words.starts[first : first + n], words.ends[first : first + n]
         texts.append(b" ".join([raw[x:y] for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]).decode("utf-8"))
@@ -263,23 +263,30 @@ def _earlier(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return rows.join(_shared(rows, ["h", "g"], scratch, name), ["h", "g"]).where("d > least")
 
 
+def _fingerprint() -> Column:
+    """Tells apart the texts of rows that repeat a doc_id."""
+    return F.xxhash64("text")
+
+
 def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Windows whose words also start in a document with a smaller doc_id, as word places:
-    (d, starts) one by one, and (d, low, high) for all windows that start in low..high."""
+    (d, f, starts) one by one, and (d, f, low, high) for all windows that start in low..high, of the
+    rows with doc_id d and a text of fingerprint f."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    longs = scratch.save(in_arrow(rows, _longs(width), "h long, g int, d long, s int, e int"), "longs")
-    settled = _earlier(longs, scratch, "low-longs").groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    settled = scratch.save(settled.select("d", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
+    rows = rows.withColumn("f", _fingerprint())
+    longs = scratch.save(in_arrow(rows, _longs(width), "h long, g int, d long, f long, s int, e int"), "longs")
+    settled = _earlier(longs, scratch, "low-longs").groupBy("d", "f").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    settled = scratch.save(settled.select("d", "f", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
     scratch.drop("longs", "low-longs")
-    symbols = scratch.save(in_arrow(rows, _symbols(width, rounds), "k long, d long"), "symbols")
+    symbols = scratch.save(in_arrow(rows.drop("f"), _symbols(width, rounds), "k long, d long"), "symbols")
     shared = _shared(symbols, ["k"], scratch, "shared").select("k")
     own = scratch.save(symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys")), "keys")
     scratch.drop("symbols", "shared")
-    found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), "doc_id", "left")
-    found = found.select("doc_id", "text", "keys", "low", "high")
-    windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, s array<int>"), "windows")
+    found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), ["doc_id", "f"], "left")
+    found = found.select("doc_id", "text", "keys", "low", "high", "f")
+    windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, f long, s array<int>"), "windows")
     scratch.drop("keys")
-    later = _earlier(windows, scratch, "low-windows").groupBy("d").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    later = _earlier(windows, scratch, "low-windows").groupBy("d", "f").agg(F.flatten(F.collect_list("s")).alias("starts"))
     later = scratch.save(later, "later")
     scratch.drop("windows", "low-windows")
     return later, settled
@@ -289,10 +296,12 @@ def _with_repeats(documents: DataFrame, width: int, rounds: int) -> DataFrame:
     """documents with what to remove, as _starts, _low and _high."""
     scratch = Scratch(documents.sparkSession, "substrings")
     later, settled = repeats(documents, scratch, width, rounds)
-    later = later.select(F.col("d").alias("_d"), F.col("starts").alias("_starts"))
-    settled = settled.select(F.col("d").alias("_e"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    rows = documents.join(later, F.col("doc_id") == F.col("_d"), "left").join(settled, F.col("doc_id") == F.col("_e"), "left")
-    return rows.drop("_d", "_e")
+    later = later.select(F.col("d").alias("_d"), F.col("f").alias("_f"), F.col("starts").alias("_starts"))
+    settled = settled.select(F.col("d").alias("_e"), F.col("f").alias("_g"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    rows = documents.withColumn("_print", _fingerprint())
+    rows = rows.join(later, (F.col("doc_id") == F.col("_d")) & (F.col("_print") == F.col("_f")), "left")
+    rows = rows.join(settled, (F.col("doc_id") == F.col("_e")) & (F.col("_print") == F.col("_g")), "left")
+    return rows.drop("_d", "_f", "_e", "_g", "_print")
 
 
 def dedup(documents: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:

@@ -141,6 +141,17 @@ def test_substrings_awkward(spark, awkward):
 # 3 Decontamination -----------------------------------------------------------------------------
 
 
+def test_substrings_rows_of_one_doc_id_with_different_texts(spark):
+    run = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    first, other = run("a", 40), run("b", 400)
+    rows = [(1, first + other), (2, run("c", 5) + first), (2, run("d", 60)), (2, other[:200] + run("e", 30)), (2, run("g", 230) + first[:20]), (2, run("d", 60))]
+    kept = [rows[0][1], rows[1][1][:5], rows[2][1], rows[3][1][200:], rows[4][1][:230], rows[5][1]]
+    table = spark.createDataFrame([(d, " ".join(t), "en", "s", len(" ".join(t))) for d, t in rows], DOC)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(table).collect())
+    assert got == sorted((d, len(t), len(t) - len(k), " ".join(k)) for (d, t), k in zip(rows, kept))
+    assert sorted(r.text for r in substrings.rewrite(table).collect()) == sorted(" ".join(k) for k in kept)
+
+
 def least_edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern):
