@@ -32,8 +32,6 @@ from .common import in_arrow
 SUPPORT = 0.002
 LEAST_ROWS = 10
 CONFIDENCE = 0.7
-#: Tokens of a combination, at most.
-LONGEST = 3
 #: Rules that one pass over the URLs looks for.
 BLOCK_RULES = 50_000
 BAD, GOOD = "label=bad", "label=good"
@@ -101,10 +99,9 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not count:
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / count)), minConfidence=confidence).fit(items)
-    sets = model.freqItemsets.where(F.size("items") <= LONGEST + 1)
     label = F.when(F.array_contains("items", BAD), F.lit(True)).when(F.array_contains("items", GOOD), F.lit(False))
     plain = F.array_sort(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD))))
-    named = sets.select(plain.alias("tokens"), label.alias("bad"), F.col("freq").alias("n")).where("size(tokens) > 0")
+    named = model.freqItemsets.select(plain.alias("tokens"), label.alias("bad"), F.col("freq").alias("n")).where("size(tokens) > 0")
     whole = named.where("bad is null").select("tokens", F.col("n").alias("total"))
     rules = named.where("bad is not null").join(whole, "tokens")
     rules = rules.withColumn("confidence", F.col("n") / F.col("total")).where(F.col("confidence") >= confidence)

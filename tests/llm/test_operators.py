@@ -108,6 +108,17 @@ def test_urls_strongest_rule_of_either_label(spark, monkeypatch):
     assert urls.Index([(["a"], False, 0.8), (["b"], True, 0.8)]).best(["a", "b"]) == (0.8, True)
 
 
+def test_urls_rule_of_four_tokens(spark):
+    rows = [(f"http://x{i}/p1/p2/p3/p4", True) for i in range(12)]
+    for left in range(1, 5):
+        path = "/".join(f"p{k}" for k in range(1, 5) if k != left)
+        rows += [(f"http://y{left}x{i}/{path}", False) for i in range(12)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert [(sorted(r.tokens), r.confidence) for r in urls.mine(labelled).where("bad").collect()] == [(["p:p1", "p:p2", "p:p3", "p:p4"], 1.0)]
+    pages = spark.createDataFrame([(1, "http://z/p4/p3/p2/p1"), (2, "http://z/p4/p3/p2")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages, labelled, []).collect()} == {1: "block", 2: "allow"}
+
+
 # 2 Substring dedup -----------------------------------------------------------------------------
 
 
