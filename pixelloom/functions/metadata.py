@@ -22,22 +22,33 @@ FORMATS = [
     ("tiff", "image/tiff", ["tif", "tiff"], True, False, False),
 ]
 # The pixel filters in their order.
-# (filter, overlap, category)
+# (filter, overlap, category, label)
 FILTERS = [
-    ("identity", 0, "copy"),
-    ("smoothEnhance", 1, "stencil"),
-    ("sharpen3x3", 1, "stencil"),
-    ("boxBlur3x3", 1, "stencil"),
-    ("unsharpMask", 1, "stencil"),
-    ("grayscale", 0, "point"),
-    ("invert", 0, "point"),
+    ("identity", 0, "utility", "Identity"),
+    ("smoothEnhance", 1, "enhancement", "Natural Enhance"),
+    ("sharpen3x3", 1, "enhancement", "Crisp Sharpen"),
+    ("boxBlur3x3", 1, "enhancement", "Soft Blur"),
+    ("unsharpMask", 1, "enhancement", "Clarity"),
+    ("grayscale", 0, "creative", "Grayscale"),
+    ("invert", 0, "creative", "Invert"),
 ]
+#: What each filter does, and the execution paths that it has.
+ABOUT = {
+    "identity": "The pixels as they are.",
+    "smoothEnhance": "Raises local contrast a little, by three eighths of the difference from a weighted mean.",
+    "sharpen3x3": "Strong sharpening: five times the pixel less its four neighbours.",
+    "boxBlur3x3": "Mean of the nine pixels around a place.",
+    "unsharpMask": "Raises local contrast clearly, by five eighths of the difference from a weighted mean.",
+    "grayscale": "Luma in 256ths in all three channels.",
+    "invert": "255 less each channel; alpha stays.",
+}
+PATHS = ["expression", "arrow"]
 # Default quality of lossy formats.
 DEFAULT_QUALITY = 0.92
 # The anchors of a watermark, row by row.
-ANCHORS = [f"{v}-{h}" if (v, h) != ("middle", "center") else "center" for v in ("top", "middle", "bottom") for h in ("left", "center", "right")]
+ANCHORS = ["top-left", "top-center", "top-right", "center-left", "center", "center-right", "bottom-left", "bottom-center", "bottom-right"]
 
-OVERLAP = {name: overlap for name, overlap, _ in FILTERS}
+OVERLAP = {name: overlap for name, overlap, *_ in FILTERS}
 _ALIASES = {ext: name for name, _, exts, *_ in FORMATS for ext in [name, *exts]}
 
 
@@ -47,7 +58,16 @@ def list_image_formats(spark: SparkSession) -> DataFrame:
 
 
 def list_pixel_filters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *f) for i, f in enumerate(FILTERS)], "position int, filter string, overlap int, category string")
+    rows = [(i, *f, ABOUT[f[0]], PATHS) for i, f in enumerate(FILTERS)]
+    return spark.createDataFrame(rows, "position int, filter string, overlap int, category string, label string, description string, paths array<string>")
+
+
+def filter_profile(name: str) -> dict:
+    """What ``list_pixel_filters`` says of one filter; an unknown name is an error."""
+    for key, overlap, category, label in FILTERS:
+        if key == name:
+            return {"filter": key, "overlap": overlap, "category": category, "label": label, "description": ABOUT[key], "paths": PATHS}
+    raise RasterError(f"Unknown filter: {name}.")
 
 
 def filter_overlap(name: str) -> int:
@@ -69,16 +89,30 @@ def known_format(name: Column) -> Column:
 
 def normalize_format(name: Column) -> Column:
     """The format of a name; an unknown one is an error."""
-    return F.coalesce(known_format(name), F.raise_error(F.concat(F.lit("Unsupported image format: "), name)).cast("string"))
+    return F.coalesce(known_format(name), F.raise_error(F.concat(F.lit("No such image format: "), name)).cast("string"))
 
 
 def normalize_format_name(name: str) -> str:
     clean = re.sub(r"^\.", "", re.sub(r"^image/", "", name.strip().lower()))
     if clean not in _ALIASES:
-        raise RasterError(f"Unsupported image format: {name}.")
+        raise RasterError(f"No such image format: {name}.")
     return _ALIASES[clean]
 
 
+def format_profile(name: str) -> dict:
+    """The row of FORMATS for a name, extension or MIME type; an unknown one is an error."""
+    found = normalize_format_name(name)
+    keys = ("format", "mime", "extensions", "alpha", "lossy", "encodable")
+    return next(dict(zip(keys, f, strict=True)) for f in FORMATS if f[0] == found)
+
+
+def infer_format(mime: Column, name: Column) -> Column:
+    """The format of an input: its MIME type where it has one, else its name's extension, else
+    null.  A type or an extension that is no image format is an error."""
+    extension = extension_of(name)
+    return F.when(F.coalesce(mime, F.lit("")) != "", normalize_format(mime)).when(extension.isNotNull(), normalize_format(extension))
+
+
 def can_encode(fmt: Column) -> Column:
     return F.coalesce(fmt.isin([f[0] for f in FORMATS if f[5]]), F.lit(False))
 
@@ -114,6 +148,12 @@ def font_height(font: Column) -> Column:
     return F.when((digits == "") | (digits.rlike("^0+$")), F.lit(48)).otherwise(F.try_to_number(digits, F.lit("9999999999")).cast("int"))
 
 
+def font_pixels(font: str) -> int:
+    """The same for one font."""
+    digits = re.match(r"\s*(\d+)", font)
+    return int(digits[1]) or 48 if digits else 48
+
+
 def anchor_xy(anchor: Column, width: Column, height: Column, text_w: Column, text_h: Column, margin: Column) -> tuple[Column, Column]:
     """Where the middle of the text goes."""
     half = lambda c: c / F.lit(2.0)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..errors import RasterError, require
 from ..functions.metadata import MaskOptions, ai_mask_options
@@ -41,11 +43,10 @@ def pick_channel(planes: np.ndarray) -> np.ndarray:
     raise RasterError(f"A mask needs 1 or at least 4 channels, got {channels}.")
 
 
-def pick_channel_column(data, channels):
+@F.pandas_udf(ArrayType(IntegerType()))
+def pick_channel_column(data: pd.Series, channels: pd.Series) -> pd.Series:
     """The same on a BINARY column of interleaved bytes, as an array of INT."""
-    at = F.when(channels == 1, F.lit(0)).when(channels >= 4, F.lit(3)).otherwise(F.raise_error(F.lit("A mask needs 1 or at least 4 channels.")).cast("int"))
-    n = (F.length(data) / channels).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(F.substring(data, (i * channels + at + 1).cast("int"), F.lit(1))), 16, 10).cast("int"))
+    return pd.Series([pick_channel(np.frombuffer(d, np.uint8).reshape(1, -1, n))[0].astype(np.int32) for d, n in zip(data, channels, strict=True)])
 
 
 def create_masks(images: DataFrame, make_provider: Callable[[], Provider]) -> DataFrame:

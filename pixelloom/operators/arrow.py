@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import RasterError, require
 from ..functions.metadata import filter_overlap
-from .tiling import to_tiles
+from .tiling import from_tiles, tile_count, to_tiles
 
 Processor = Callable[[np.ndarray, tuple, tuple, str], np.ndarray]
 TILE_SCHEMA = (
@@ -64,11 +65,11 @@ def filter_tile(data: bytes, in_rect: tuple, out_rect: tuple, name: str, process
     """The output bytes of one tile; lengths are checked on both sides."""
     filter_overlap(name)
     want = in_rect[2] * in_rect[3] * 4
-    require(len(data) == want, f"Tile byte length mismatch: expected {want} bytes, got {len(data)}.")
+    require(len(data) == want, f"A tile's input has {len(data)} bytes instead of {want}.")
     rgba = np.frombuffer(data, np.uint8).reshape(in_rect[3], in_rect[2], 4)
     out = np.ascontiguousarray((processor or builtin)(rgba, in_rect, out_rect, name), np.uint8).tobytes()
     want = out_rect[2] * out_rect[3] * 4
-    require(len(out) == want, f"Processor output length mismatch: expected {want} bytes, got {len(out)}.")
+    require(len(out) == want, f"A processor returned {len(out)} bytes instead of {want}.")
     return out
 
 
@@ -114,7 +115,7 @@ def filter_images(images: DataFrame, names: list[str]) -> DataFrame:
             for w, h, d in zip(*batch.columns[1:], strict=True):
                 w, h, d = w.as_py(), h.as_py(), d.as_py()
                 if len(d) != w * h * 4:
-                    raise RasterError(f"RGBA buffer length mismatch: expected {w * h * 4} bytes, got {len(d)}.")
+                    raise RasterError(f"The image data have the wrong length: {len(d)} bytes instead of {w * h * 4}.")
                 rgba = np.frombuffer(d, np.uint8).reshape(h, w, 4)
                 for name in names:
                     rgba = filter_image(rgba, name)
@@ -126,7 +127,53 @@ def filter_images(images: DataFrame, names: list[str]) -> DataFrame:
 
 def process(pixels: DataFrame, name: str = "identity", tile: int = 512, overlap: int = 1, processor: Processor | None = None) -> DataFrame:
     """P-form through tiles: deal out, filter, put together."""
-    from .tiling import from_tiles
-
-    require(overlap >= filter_overlap(name), f"{name} requires overlap of at least {filter_overlap(name)}.")
+    check_overlap(name, overlap)
     return from_tiles(process_tiles(to_tiles(pixels, tile, overlap), name, processor))
+
+
+def check_overlap(name: str, overlap: int) -> None:
+    need = filter_overlap(name)
+    require(overlap >= need, f"The overlap {overlap} is too small: {name} needs {need}.")
+
+
+def process_stats(pixels: DataFrame, name: str = "identity", tile: int = 512, overlap: int = 1, processor: Processor | None = None) -> DataFrame:
+    """(image_id, total_tiles, processed_tiles, output_bytes) of a pass: the tiles that the images'
+    sizes ask for, and those that went through the filter, with their output."""
+    check_overlap(name, overlap)
+    done = process_tiles(to_tiles(pixels, tile, overlap), name, processor)
+    sums = done.groupBy("image_id", "width", "height").agg(F.count("*").alias("processed_tiles"), F.sum(F.length("rgba").cast("long")).alias("output_bytes"))
+    return sums.select("image_id", tile_count(F.col("width"), F.col("height"), tile).alias("total_tiles"), "processed_tiles", "output_bytes")
+
+
+def by_tile(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], tuple[int, int]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """A kernel over the rows of each tile of a table dealt by ``stencil.deal``: it gets the columns
+    as arrays in order of (y, x), and the tile's place (tx, ty), and returns the columns of ``schema``.
+
+    One tile with its halo is in memory at a time.
+    """
+    keys = ["image_id", "tx", "ty"]
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held)
+            columns = {n: table.column(n).to_numpy() for n in table.column_names}
+            out = kernel(columns, (int(columns["tx"][0]), int(columns["ty"][0])))
+            yield pa.record_batch([pa.array(v) for v in out.values()], list(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+            cuts = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(own[:, a].tolist())
+                if key != last:
+                    yield from flush(held)
+                    held, last = [], key
+                held.append(batch.slice(a, b - a))
+        yield from flush(held)
+
+    return rows.sortWithinPartitions(*keys, "y", "x").mapInArrow(run, schema)

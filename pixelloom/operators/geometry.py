@@ -1,8 +1,8 @@
 """Cropping and resampling.
 
 A pixel knows by arithmetic which output columns and rows it counts in, so resampling expands
-pixels in place.  Nearest moves nothing; bilinear moves pixels once, by image, and both its
-group-bys share that partitioning.
+pixels in place.  Nearest moves nothing; bilinear moves pixels by (image, row) and the rows that
+it made by (image, column), before they are expanded, so an image of any size is many tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ BROADCAST_TAPS = 1_000_000
 
 
 def crop(pixels: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
-    """Half-open rectangle with its origin moved to 0; it must lie within every image."""
+    """Half-open rectangle with its origin moved to 0; it must lie within every image.
+
+    Of an image that it does not lie in, the first pixel is kept to raise the error.
+    """
     natural(x, "x"), natural(y, "y"), positive_int(width, "width"), positive_int(height, "height")
     inside = (F.col("width") >= x + width) & (F.col("height") >= y + height)
-    message = F.lit("Crop rectangle is out of bounds.")
-    rows = pixels.where((F.col("x") >= x) & (F.col("x") < x + width) & (F.col("y") >= y) & (F.col("y") < y + height))
+    message = F.lit("The crop rectangle is outside image bounds.")
+    own = (F.col("x") >= x) & (F.col("x") < x + width) & (F.col("y") >= y) & (F.col("y") < y + height)
+    rows = pixels.where(F.when(inside, own).otherwise((F.col("x") == 0) & (F.col("y") == 0)))
     return rows.select(
         "image_id", F.when(inside, F.lit(width)).otherwise(F.raise_error(message).cast("int")).alias("width"), F.lit(height).alias("height"),
         (F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), "r", "g", "b", "a",
@@ -65,9 +69,9 @@ def resize_bilinear(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """8-bit bilinear: horizontal pass, rounded to bytes, then vertical pass, rounded again."""
     positive_int(width, "width"), positive_int(height, "height")
     mean = lambda c: F.shiftright(F.sum(F.col(c) * F.col("w")) + 128, 8).cast("int").alias(c)
-    rows = _weighted(pixels.repartition("image_id"), "width", "x", width)
+    rows = _weighted(pixels.repartition("image_id", "y"), "width", "x", width)
     rows = rows.groupBy("image_id", "height", "y", "o").agg(*[mean(c) for c in "rgba"]).withColumnRenamed("o", "x")
-    rows = _weighted(rows, "height", "y", height)
+    rows = _weighted(rows.repartition("image_id", "x"), "height", "y", height)
     rows = rows.groupBy("image_id", "x", "o").agg(*[mean(c) for c in "rgba"])
     return rows.select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "x", F.col("o").alias("y"), *"rgba")
 
@@ -91,6 +95,7 @@ def resize(pixels: DataFrame, width: int, height: int, method: str = "bilinear")
 
 def resize_mask(masks: DataFrame, in_w: int, in_h: int, width: int, height: int) -> DataFrame:
     """(image_id, x, y, m) masks of one size by bilinear weights in doubles, rounded once."""
+    positive_int(in_w, "width"), positive_int(in_h, "height"), positive_int(width, "width"), positive_int(height, "height")
     if (in_w, in_h) == (width, height):
         return masks.select("image_id", "x", "y", "m")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import jround, smoothstep_u8
 from ..functions.metadata import MaskOptions
 from ..sources.images import PIXEL
+from .arrow import by_tile
+from .stencil import TILE, deal
 
 KEY = ["image_id", "x", "y"]
 
@@ -15,26 +18,43 @@ KEY = ["image_id", "x", "y"]
 def guided_feather(pixels: DataFrame, masks: DataFrame, radius: int = 2, sensitivity: float = 48) -> DataFrame:
     """Edge-aware mean of partial mask values; 0 and 255 stay.  Neighbours outside do not count.
 
-    Only partial pixels are expanded to their (2 * radius + 1)**2 neighbours.
+    Pixels with their masks are dealt out by (image, tile) once, those near a tile's border to the
+    neighbours too; in a tile numpy adds the (2 * radius + 1)**2 shifted planes in a fixed order,
+    so a rerun gives the same sums to the last bit.
     """
     if radius <= 0:
         return masks.select(*KEY, "m")
-    rows = pixels.select(*KEY, "r", "g", "b").join(masks.select(*KEY, "m"), KEY)
-    partial = rows.where((F.col("m") > 0) & (F.col("m") < 255))
-    offsets = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-    wide = partial.select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), *[F.col(c).alias(f"c{c}") for c in "rgb"], around.alias("o"))
-    wide = wide.withColumn("x", F.col("cx") + F.col("o.dx")).withColumn("y", F.col("cy") + F.col("o.dy"))
-    both = wide.join(rows, KEY)
-    d = [(F.col(c) - F.col(f"c{c}")).cast("double") for c in "rgb"]
-    far = (F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).cast("double")
-    one = F.lit(1.0)
-    weight = (one / (one + (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) / F.lit(float(sensitivity) ** 2))) * (one / (one + far))
-    both = both.withColumn("wt", weight)
-    mean = both.groupBy("image_id", "cx", "cy").agg(F.sum(F.col("m") * F.col("wt")).alias("n"), F.sum("wt").alias("d"))
-    soft = mean.select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), jround(F.col("n") / F.greatest(F.col("d"), one)).alias("m"))
-    rest = masks.where((F.col("m") <= 0) | (F.col("m") >= 255)).select(*KEY, "m")
-    return soft.unionByName(rest)
+    square = float(sensitivity) ** 2
+
+    def kernel(columns: dict[str, np.ndarray], tile: tuple[int, int]) -> dict[str, np.ndarray]:
+        x, y = columns["x"], columns["y"]
+        left, top = x.min() - radius, y.min() - radius
+        place = (y - top, x - left)
+        shape = (y.max() - top + radius + 1, x.max() - left + radius + 1)
+        planes = np.zeros((4, *shape))
+        for plane, c in zip(planes, "rgbm", strict=True):
+            plane[place] = columns[c]
+        there = np.zeros(shape, bool)
+        there[place] = True
+        own = (x // TILE == tile[0]) & (y // TILE == tile[1])
+        m = columns["m"].copy()
+        todo = np.flatnonzero(own & (m > 0) & (m < 255))
+        row, col = place[0][todo], place[1][todo]
+        centre = planes[:3, row, col]
+        total, weights = np.zeros(len(todo)), np.zeros(len(todo))
+        for dy in range(-radius, radius + 1):
+            for dx in range(-radius, radius + 1):
+                near = planes[:, row + dy, col + dx]
+                colour = ((near[:3] - centre) ** 2).sum(axis=0)
+                weight = (1 / (1 + colour / square)) * (1 / (1 + float(dx * dx + dy * dy))) * there[row + dy, col + dx]
+                total += near[3] * weight
+                weights += weight
+        m[todo] = np.floor(total / np.maximum(weights, 1) + 0.5)
+        return {"image_id": columns["image_id"][own], "x": x[own], "y": y[own], "m": m[own]}
+
+    rows = pixels.select(*KEY, "width", "height", "r", "g", "b").join(masks.select(*KEY, "m"), KEY)
+    dealt = deal(rows, TILE, radius).select(*KEY, "tx", "ty", "r", "g", "b", F.col("m").cast("int").alias("m"))
+    return by_tile(dealt, kernel, "image_id long, x int, y int, m int")
 
 
 def smoothstep_mask(masks: DataFrame, options: MaskOptions) -> DataFrame:

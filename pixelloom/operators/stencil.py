@@ -1,8 +1,8 @@
-"""3x3 filters as windows over rows and columns of an image, with replicated edges.
+"""3x3 filters as windows over rows and columns of a tile, with replicated edges.
 
-The pixels are dealt out by image once; both windows are satisfied by that, so only local
-sorts follow.  Images too large for one task go through ``halo_stencil``: pixels are dealt
-by (image, tile), with the halo copied to the tiles that need it.
+Pixels are dealt out by (image, tile) once, those at a tile's border to the neighbours too;
+both windows are satisfied by that, so only local sorts follow, and an image of any size is
+many tasks.  The results are the same for every tile size.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from . import point
 #: (detail weight in eighths) of the two enhancing filters.
 GAIN = {"smoothEnhance": 3, "unsharpMask": 5}
 STENCILS = ("sharpen3x3", "boxBlur3x3", "smoothEnhance", "unsharpMask")
+TILE = 512
 
 
 def _neighbours(c: str, w) -> tuple[Column, Column]:
@@ -44,24 +45,25 @@ def _stencil(pixels: DataFrame, name: str, keys: list[str], keep: list[str]) ->
     return rows.select(*[k for k in keep if k not in "rgb"], *[v.alias(c) for c, v in out.items()])
 
 
-def stencil(pixels: DataFrame, name: str) -> DataFrame:
-    require(name in STENCILS, f"Unknown filter: {name}.")
-    return _stencil(pixels.repartition("image_id"), name, ["image_id"], PIXEL).select(PIXEL)
+def own_tile(tile: int) -> Column:
+    """Whether a pixel lies in the tile (tx, ty) itself, not only in its halo."""
+    return (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty"))
 
 
-def halo_stencil(pixels: DataFrame, name: str, tile: int = 512) -> DataFrame:
-    """The same for images of any size: each pixel also goes to the tiles whose halo it is in
-    (at most four), and only a tile's own pixels are kept."""
-    require(name in STENCILS, f"Unknown filter: {name}.")
-    require(tile > 1, "overlap must be smaller than tileSize.")
-    near = lambda c, size: F.array_distinct(
-        F.array(F.floor(F.greatest(F.lit(0), F.col(c) - 1) / tile), F.floor(F.col(c) / tile), F.floor(F.least(F.col(size) - 1, F.col(c) + 1) / tile))
-    )
+def deal(pixels: DataFrame, tile: int = TILE, halo: int = 1) -> DataFrame:
+    """Pixels with (tx, ty), once for each tile whose halo they are in, dealt out by (image, tile)."""
+    require(tile > halo, "A tile must be larger than its overlap.")
+    index = lambda c: F.floor(c / tile).cast("int")
+    near = lambda c, size: F.sequence(index(F.greatest(F.lit(0), F.col(c) - halo)), index(F.least(F.col(size) - 1, F.col(c) + halo)))
     rows = pixels.withColumn("tx", F.explode(near("x", "width"))).withColumn("ty", F.explode(near("y", "height")))
-    rows = rows.repartition("image_id", "tx", "ty")
-    done = _stencil(rows, name, ["image_id", "tx", "ty"], [*PIXEL, "tx", "ty"])
-    own = (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty"))
-    return done.where(own).select(PIXEL)
+    return rows.repartition("image_id", "tx", "ty")
+
+
+def stencil(pixels: DataFrame, name: str, tile: int = TILE) -> DataFrame:
+    """One 3x3 filter; only a tile's own pixels are kept."""
+    require(name in STENCILS, f"Unknown filter: {name}.")
+    done = _stencil(deal(pixels, tile), name, ["image_id", "tx", "ty"], [*PIXEL, "tx", "ty"])
+    return done.where(own_tile(tile)).select(PIXEL)
 
 
 def apply_filter(pixels: DataFrame, name: str = "smoothEnhance") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import natural, positive_int, require
-from ..functions.metadata import filter_overlap
-from ..sources.images import PIXEL, packed, pixel_word
+from ..functions.metadata import filter_overlap, normalize_format_name
+from ..sources.images import PIXEL, PIXEL_SCHEMA, packed, pixel_batches, pixel_word
 
 # Filters of a goal, and its quality.
 GOALS = {"archive": [], "preview": ["smoothEnhance"], "delivery": ["smoothEnhance"], "transparent-cutout": ["unsharpMask"]}
@@ -18,7 +21,7 @@ MIN_TILE, MAX_TILE, WORKER_BYTES = 256, 4096, 32 * 1024 * 1024
 
 def check_tiles(tile: int, overlap: int) -> None:
     positive_int(tile, "tileSize"), natural(overlap, "overlap")
-    require(overlap < tile, "overlap must be smaller than tileSize.")
+    require(overlap < tile, "A tile must be larger than its overlap.")
 
 
 def plan_tiles(images: DataFrame, tile: int = 512, overlap: int = 1) -> DataFrame:
@@ -76,36 +79,61 @@ def choose_tile_size_column(max_bytes: Column, overlap: Column, least: int = MIN
     return fitting
 
 
+def tile_count(width: Column, height: Column, tile: int) -> Column:
+    along = lambda n: F.ceil(n.cast("long") / tile)
+    return along(width) * along(height)
+
+
+def peak_tile_bytes(width: Column, height: Column, tile: int, overlap: int) -> Column:
+    """Bytes of the largest tile's input and output, without planning any tile.
+
+    Along one side the second of three or more tiles has the longest input, as it has an overlap
+    on both ends and is whole; of one or two tiles the first has.
+    """
+
+    def along(n: Column) -> tuple[Column, Column]:
+        most = F.least(n - tile + overlap, F.lit(tile + 2 * overlap))
+        return F.when(n > 2 * tile, most).otherwise(F.least(n, F.lit(tile + overlap))), F.least(n, F.lit(tile))
+
+    (in_w, out_w), (in_h, out_h) = along(width), along(height)
+    return rect_bytes(in_w, in_h) + rect_bytes(out_w, out_h)
+
+
 def processing_plan(images: DataFrame, tile: int = 512, overlap: int = 1, filter: str = "sharpen3x3", lanes: int = 1) -> DataFrame:
-    """Tiling and memory figures of every image (image_id, width, height), from its tiles."""
-    require(overlap >= filter_overlap(filter), f"{filter} requires overlap of at least {filter_overlap(filter)}.")
-    positive_int(lanes, "workerLanes")
-    tiles = plan_tiles(images, tile, overlap)
-    peak = rect_bytes(F.col("in_w"), F.col("in_h")) + rect_bytes(F.col("out_w"), F.col("out_h"))
-    figures = tiles.groupBy("image_id").agg(F.count("*").alias("tile_count"), F.max(peak).alias("peak_tile_bytes"))
-    rows = images.select("image_id", "width", "height").join(figures, "image_id")
-    full = rect_bytes(F.col("width"), F.col("height"))
-    return rows.select(
-        "image_id", "width", "height", F.lit(filter).alias("filter"), F.lit(tile).alias("tile_size"), F.lit(overlap).alias("overlap"), "tile_count",
-        full.alias("full_frame_bytes"), "peak_tile_bytes", (F.col("peak_tile_bytes") * lanes).alias("active_bytes"),
-        (full / (F.col("peak_tile_bytes") * lanes)).alias("memory_reduction_ratio"),
+    """Tiling and memory figures of every image (image_id, width, height): a projection.
+
+    As a plan only, it takes an overlap that is too small for the filter; fewer than one lane
+    count as one.
+    """
+    check_tiles(tile, overlap), filter_overlap(filter)
+    lanes, width, height = max(1, lanes), F.col("width"), F.col("height")
+    full, peak = rect_bytes(width, height), peak_tile_bytes(width, height, tile, overlap)
+    return images.select(
+        "image_id", "width", "height", (width.cast("long") * height).alias("pixels"), F.lit(filter).alias("filter"), F.lit(tile).alias("tile_size"), F.lit(overlap).alias("overlap"),
+        tile_count(width, height, tile).alias("tile_count"), full.alias("full_frame_bytes"), peak.alias("peak_tile_bytes"), (peak * lanes).alias("active_bytes"),
+        (full / (peak * lanes)).alias("memory_reduction_ratio"),
     )
 
 
 def asset_plan(pixels: DataFrame, goal: str = "delivery", worker_bytes: int = WORKER_BYTES, preferred: str | None = None, filters: list[str] | None = None) -> DataFrame:
-    """A recipe for every image: format, quality, filters, and its processing plan."""
+    """A recipe for every image: format, quality, filters, and its processing plan.  Pixels are
+    read once, for whether an image has alpha; all else follows from its size."""
     require(goal in GOALS, f"Unknown goal: {goal}.")
     names = GOALS[goal] if filters is None else filters
     overlap = max([filter_overlap(n) for n in names], default=0)
     tile = choose_tile_size(worker_bytes, overlap)
     images = pixels.groupBy("image_id", "width", "height").agg((F.min("a") < 255).alias("has_alpha"))
-    plan = processing_plan(images, tile, overlap, names[0] if names else "identity")
+    width, height = F.col("width"), F.col("height")
+    full, peak = rect_bytes(width, height), peak_tile_bytes(width, height, tile, overlap)
+    if preferred:
+        preferred = normalize_format_name(preferred)
     fmt = F.lit(preferred) if preferred else {"archive": F.lit("png"), "transparent-cutout": F.lit("webp"), "preview": F.lit("webp"), "delivery": F.when(F.col("has_alpha"), "webp").otherwise("jpeg")}[goal]
-    out = plan.join(images.select("image_id", "has_alpha"), "image_id").withColumn("format", fmt)
+    out = images.withColumn("format", fmt)
     quality = F.when(~F.col("format").isin("png", "bmp", "gif"), F.lit(QUALITY[goal]))
     return out.select(
-        "image_id", F.lit(goal).alias("goal"), "has_alpha", "format", quality.alias("quality"), F.lit(",".join(names)).alias("filters"),
-        "overlap", "tile_size", "tile_count", "peak_tile_bytes",
+        "image_id", F.lit(goal).alias("goal"), "width", "height", (width.cast("long") * height).alias("pixels"), full.alias("rgba_bytes"), "has_alpha",
+        "format", quality.alias("quality"), F.lit(",".join(names)).alias("filters"), F.lit(overlap).alias("overlap"), F.lit(tile).alias("tile_size"),
+        tile_count(width, height, tile).alias("tile_count"), peak.alias("peak_tile_bytes"), (full / peak).alias("memory_reduction_ratio"),
     )
 
 
@@ -145,23 +173,15 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
     """T with output-sized bytes back to P."""
     w, h = F.col("out_rect.width"), F.col("out_rect.height")
     want = w.cast("long") * h * 4
-    data = F.when(F.length("rgba") == want, F.col("rgba")).otherwise(F.raise_error(F.lit("Tile byte length mismatch.")).cast("binary"))
-    rows = tiles.select("image_id", "width", "height", "out_rect", data.alias("rgba"), F.explode(F.sequence(F.lit(0), w * h - 1)).alias("k"))
-    word = F.conv(F.hex(F.substring(F.col("rgba"), F.col("k") * 4 + 1, F.lit(4))), 16, 10).cast("long")
-    rows = rows.withColumn("v", word)
-    part = lambda s: (F.shiftright("v", s) % 256).cast("int")
-    return rows.select(
-        "image_id", "width", "height", (F.col("out_rect.x") + F.col("k") % w).cast("int").alias("x"), (F.col("out_rect.y") + F.floor(F.col("k") / w)).cast("int").alias("y"),
-        part(24).alias("r"), part(16).alias("g"), part(8).alias("b"), part(0).alias("a"),
-    )
+    data = F.when(F.length("rgba") == want, F.col("rgba")).otherwise(F.raise_error(F.lit("A tile's data have the wrong length.")).cast("binary"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, width, height, rect, rgba in zip(*batch.columns, strict=True):
+                place = rect.as_py()
+                yield from pixel_batches(image_id.as_py(), width.as_py(), height.as_py(), tuple(place[k] for k in ("x", "y", "width", "height")), rgba.as_buffer())
 
-def process_stats(images: DataFrame, tile: int = 512, overlap: int = 1) -> DataFrame:
-    """(image_id, total_tiles, processed_tiles, output_bytes) of a whole pass."""
-    tiles = plan_tiles(images, tile, overlap)
-    return tiles.groupBy("image_id").agg(
-        F.count("*").alias("total_tiles"), F.count("*").alias("processed_tiles"), F.sum(rect_bytes(F.col("out_w"), F.col("out_h"))).alias("output_bytes")
-    )
+    return tiles.select("image_id", "width", "height", "out_rect", data.alias("rgba")).mapInArrow(run, PIXEL_SCHEMA)
 
 
 def progress(images: DataFrame, tile: int = 512, overlap: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import natural, positive_int, require
 from ..functions.exprs import check_adjust
 from ..functions.metadata import MaskOptions, check_watermark, filter_overlap
-from ..operators import geometry, histogram, mask, point, stencil, tiling, watermark
+from ..operators import backend, geometry, histogram, mask, point, tiling, watermark
 from ..operators.stencil import STENCILS
 
 
@@ -32,7 +32,7 @@ class Step:
 
 def _crops(a: dict, b: dict) -> dict:
     """b after a."""
-    require(b["x"] + b["width"] <= a["width"] and b["y"] + b["height"] <= a["height"], "Crop rectangle is out of bounds.")
+    require(b["x"] + b["width"] <= a["width"] and b["y"] + b["height"] <= a["height"], "The crop rectangle is outside image bounds.")
     return {"x": a["x"] + b["x"], "y": a["y"] + b["y"], "width": b["width"], "height": b["height"]}
 
 
@@ -109,7 +109,8 @@ class Edit:
         return self._with("adjust", **options)
 
     def watermark(self, text: str, **options) -> Edit:
-        check_watermark(text, options.get("opacity", 0.6), options.get("margin", 24))
+        """Options as those of ``operators.watermark.text_watermark``."""
+        check_watermark(text, options.get("opacity", 1), options.get("margin", 24), options.get("tile_spacing", 200))
         return self._with("watermark", text=text, **options)
 
     def plan(self, goal: str = "delivery", **options) -> DataFrame:
@@ -126,9 +127,12 @@ class Edit:
 
 
 def _border(rows: DataFrame, args: dict) -> DataFrame:
-    """The crop and one pixel around it where the image has one; places are not moved yet."""
+    """The crop and one pixel around it where the image has one; places are not moved yet.  Of an
+    image that the crop does not lie in, the first pixel stays, for the crop to raise its error."""
     x, y, w, h = args["x"], args["y"], args["width"], args["height"]
-    return rows.where((F.col("x") >= x - 1) & (F.col("x") <= x + w) & (F.col("y") >= y - 1) & (F.col("y") <= y + h))
+    inside = (F.col("width") >= x + w) & (F.col("height") >= y + h)
+    near = (F.col("x") >= x - 1) & (F.col("x") <= x + w) & (F.col("y") >= y - 1) & (F.col("y") <= y + h)
+    return rows.where(F.when(inside, near).otherwise((F.col("x") == 0) & (F.col("y") == 0)))
 
 
 def _apply(rows: DataFrame, s: Step) -> DataFrame:
@@ -140,7 +144,7 @@ def _apply(rows: DataFrame, s: Step) -> DataFrame:
     if s.kind == "resize":
         return geometry.resize(rows, **a)
     if s.kind == "filter":
-        return stencil.apply_filter(rows, a["name"])
+        return backend.apply_filter(rows, a["name"])
     if s.kind == "mask":
         return mask.apply_mask(rows, a["masks"], a["options"])
     if s.kind == "background":

@@ -6,6 +6,7 @@ as images 20 wide (L).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import exprs, metadata
 from .functions.metadata import MaskOptions
-from .operators import ai, arrow, geometry, histogram, mask, point, stencil, tiling, watermark
+from .operators import ai, arrow, backend, geometry, histogram, mask, point, stencil, tiling, watermark
 from .plans import edit
 from .sources.images import create_images, embedding_images, lineitem_images, pack_images, unpack_images
+from .streaming import ring_total
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,7 +212,7 @@ def _stencil_ctes(name: str, source: str, out: str) -> str:
 for _name, _key in (("sharpen3x3", "sharpen3x3"), ("boxBlur3x3", "box_blur3x3"), ("smoothEnhance", "smooth_enhance"), ("unsharpMask", "unsharp_mask")):
     query(_key, f", {_stencil_ctes(_name, 'pix', 'out')} SELECT * FROM out", L_VIEW)(lambda s, d, n=_name: stencil.apply_filter(L(s, d), n))
 query("blur_then_sharpen", f", {_stencil_ctes('boxBlur3x3', 'pix', 'one')}, {_stencil_ctes('sharpen3x3', 'one', 'two')} SELECT * FROM two")(lambda s, d: stencil.apply_filters(E(s, d), ["boxBlur3x3", "sharpen3x3"]))
-query("halo_stencil", f", {_stencil_ctes('smoothEnhance', 'pix', 'out')} SELECT * FROM out", L_VIEW)(lambda s, d: stencil.halo_stencil(L(s, d), "smoothEnhance", 7))
+query("halo_stencil", f", {_stencil_ctes('smoothEnhance', 'pix', 'out')} SELECT * FROM out", L_VIEW)(lambda s, d: stencil.stencil(L(s, d), "smoothEnhance", 7))
 query("arrow_tile_filter", f", {_stencil_ctes('unsharpMask', 'pix', 'out')} SELECT * FROM out", L_VIEW)(lambda s, d: arrow.process(L(s, d), "unsharpMask", 7, 1))
 query("arrow_image_filter", f", {_stencil_ctes('boxBlur3x3', 'pix', 'one')}, {_stencil_ctes('sharpen3x3', 'one', 'two')} SELECT * FROM two", L_VIEW)(lambda s, d: unpack_images(arrow.filter_images(pack_images(L(s, d)), ["boxBlur3x3", "sharpen3x3"])))
 
@@ -281,10 +283,11 @@ query("tile_roundtrip", "SELECT * FROM pix", L_VIEW)(lambda s, d: arrow.process(
 _T_SQL = """, g AS (SELECT p.image_id, t.tile_index, CAST(count(*) AS BIGINT) AS pixels, md5(string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' ORDER BY y, x)) AS digest
   FROM pix p JOIN t ON t.image_id = p.image_id AND p.x >= in_x AND p.x < in_x + in_w AND p.y >= in_y AND p.y < in_y + in_h GROUP BY p.image_id, t.tile_index) SELECT * FROM g"""
 query("tile_pack", f"{_tiles_sql(9, 1)}{_T_SQL}", DIMS_VIEW)(lambda s, d: tiling.to_tiles(L(s, d), 9, 1).select("image_id", "tile_index", (F.length("rgba") / 4).cast("long").alias("pixels"), F.md5(F.hex("rgba").cast("binary")).alias("digest")))
-query("process_stats", f"{_tiles_sql(7, 1)} SELECT image_id, count(*) AS total_tiles, count(*) AS processed_tiles, CAST(sum(out_w * out_h * 4) AS BIGINT) AS output_bytes FROM t GROUP BY image_id", DIMS_VIEW)(lambda s, d: tiling.process_stats(dims(L(s, d)), 7, 1))
+query("process_stats", f"{_tiles_sql(7, 1)} SELECT image_id, count(*) AS total_tiles, count(*) AS processed_tiles, CAST(sum(out_w * out_h * 4) AS BIGINT) AS output_bytes FROM t GROUP BY image_id", DIMS_VIEW)(lambda s, d: arrow.process_stats(L(s, d), "sharpen3x3", 7, 1))
 query("process_progress", f"{_tiles_sql(7, 1)} SELECT image_id, tile_index, (tile_index + 1) * {D(100)} / count(*) OVER (PARTITION BY image_id) AS percent FROM t", DIMS_VIEW)(lambda s, d: tiling.progress(dims(L(s, d)), 7, 1))
+# the plan in closed form against the tiles one by one
 _PLAN_SQL = f"""{_tiles_sql(8, 1)}, f AS (SELECT image_id, count(*) AS tile_count, CAST(max((in_w * in_h + out_w * out_h) * 4) AS BIGINT) AS peak_tile_bytes FROM t GROUP BY image_id)
-SELECT i.image_id, i.width, i.height, 'sharpen3x3' AS filter, 8 AS tile_size, 1 AS overlap, tile_count, CAST(i.width AS BIGINT) * i.height * 4 AS full_frame_bytes, peak_tile_bytes,
+SELECT i.image_id, i.width, i.height, CAST(i.width AS BIGINT) * i.height AS pixels, 'sharpen3x3' AS filter, 8 AS tile_size, 1 AS overlap, tile_count, CAST(i.width AS BIGINT) * i.height * 4 AS full_frame_bytes, peak_tile_bytes,
   peak_tile_bytes * 4 AS active_bytes, (CAST(i.width AS BIGINT) * i.height * 4) / CAST(peak_tile_bytes * 4 AS DOUBLE) AS memory_reduction_ratio FROM img i JOIN f USING (image_id)"""
 query("processing_plan", _PLAN_SQL, DIMS_VIEW)(lambda s, d: tiling.processing_plan(dims(L(s, d)), 8, 1, "sharpen3x3", 4))
 
@@ -297,21 +300,26 @@ def _(spark, sf):
 
 
 def _asset_sql(goal: str, filters: str, overlap: int, tile: int, fmt: str, quality: float) -> str:
-    return f"""SELECT image_id, '{goal}' AS goal, has_alpha, format, CASE WHEN format NOT IN ('png', 'bmp', 'gif') THEN {D(quality)} END AS quality, '{filters}' AS filters,
-  {overlap} AS overlap, {tile} AS tile_size, CAST(1 AS BIGINT) AS tile_count, CAST(width * height * 8 AS BIGINT) AS peak_tile_bytes
+    return f"""SELECT image_id, '{goal}' AS goal, width, height, CAST(width * height AS BIGINT) AS pixels, CAST(width * height * 4 AS BIGINT) AS rgba_bytes,
+  has_alpha, format, CASE WHEN format NOT IN ('png', 'bmp', 'gif') THEN {D(quality)} END AS quality, '{filters}' AS filters,
+  {overlap} AS overlap, {tile} AS tile_size, CAST(1 AS BIGINT) AS tile_count, CAST(width * height * 8 AS BIGINT) AS peak_tile_bytes, {D(0.5)} AS memory_reduction_ratio
   FROM (SELECT *, {fmt} AS format FROM (SELECT image_id, width, height, min(a) < 255 AS has_alpha FROM pix GROUP BY ALL))"""
 
 
 query("asset_plan", " " + _asset_sql("delivery", "smoothEnhance", 1, 1024, "CASE WHEN has_alpha THEN 'webp' ELSE 'jpeg' END", 0.92), L_VIEW)(lambda s, d: tiling.asset_plan(L(s, d)))
 query("asset_plan_archive", " " + _asset_sql("archive", "", 0, 2048, "'png'", 0.98))(lambda s, d: tiling.asset_plan(E(s, d), "archive"))
+query("asset_plan_preview", " " + _asset_sql("preview", "smoothEnhance", 1, 1024, "'webp'", 0.84), L_VIEW)(lambda s, d: tiling.asset_plan(L(s, d), "preview"))
+query("asset_plan_cutout", " " + _asset_sql("transparent-cutout", "unsharpMask", 1, 1024, "'webp'", 0.95))(lambda s, d: tiling.asset_plan(E(s, d), "transparent-cutout"))
 
 # Dimensions and scalars ----------------------------------------------------------------------
 
 _FORMAT_ROWS = ", ".join(f"({i}, '{n}', '{m}', {e}, {a}, {lo}, {en})" for i, (n, m, e, a, lo, en) in enumerate(metadata.FORMATS))
 query("format_dim", f"SELECT * FROM (VALUES {_FORMAT_ROWS}) t(position, format, mime, extensions, alpha, lossy, encodable)", "")(lambda s, d: metadata.list_image_formats(s))
-_FILTER_ROWS = ", ".join(f"({i}, '{n}', {o}, '{c}')" for i, (n, o, c) in enumerate(metadata.FILTERS))
-query("filter_dim", f"SELECT * FROM (VALUES {_FILTER_ROWS}) t(position, filter, overlap, category)", "")(lambda s, d: metadata.list_pixel_filters(s))
-query("filter_overlap", f", d AS (SELECT * FROM (VALUES {_FILTER_ROWS}) t(position, filter, overlap, category)), u AS (SELECT image_id, CAST(image_id % 7 AS INTEGER) AS position FROM pix GROUP BY ALL) SELECT image_id, filter, overlap FROM u JOIN d USING (position)")(
+# written out, not taken from the code's table
+_FILTER_ROWS = """(0, 'identity', 0, 'utility', 'Identity'), (1, 'smoothEnhance', 1, 'enhancement', 'Natural Enhance'), (2, 'sharpen3x3', 1, 'enhancement', 'Crisp Sharpen'),
+(3, 'boxBlur3x3', 1, 'enhancement', 'Soft Blur'), (4, 'unsharpMask', 1, 'enhancement', 'Clarity'), (5, 'grayscale', 0, 'creative', 'Grayscale'), (6, 'invert', 0, 'creative', 'Invert')"""
+query("filter_dim", f"SELECT * FROM (VALUES {_FILTER_ROWS}) t(position, filter, overlap, category, label)", "")(lambda s, d: metadata.list_pixel_filters(s).drop("description", "paths"))
+query("filter_overlap", f", d AS (SELECT * FROM (VALUES {_FILTER_ROWS}) t(position, filter, overlap, category, label)), u AS (SELECT image_id, CAST(image_id % 7 AS INTEGER) AS position FROM pix GROUP BY ALL) SELECT image_id, filter, overlap FROM u JOIN d USING (position)")(
     lambda s, d: E(s, d).select("image_id", (F.col("image_id") % 7).cast("int").alias("position")).distinct().join(F.broadcast(metadata.list_pixel_filters(s)), "position").select("image_id", "filter", "overlap")
 )
 _EXT = r"nullif(lower(regexp_extract(url, '(?i)\.([a-z0-9]+)(?:[?#].*)?$', 1)), '')"
@@ -328,6 +336,14 @@ def _raw_names(s, d):
     return ids.withColumn("raw", F.element_at(F.array(*[F.lit(n) for n in _RAW_NAMES]), (F.col("image_id") % len(_RAW_NAMES) + 1).cast("int")))
 
 
+_MIMES = ["image/jpeg", "", "", "image/avif", "", "image/x-none"]  # the last stands beside a name without extension only
+_BY_NAME = ["a.png", "b.JPG?x=1", "folder.d/c", "d.gif", "e.tif#top", "f.webp"]
+query("infer_format", f"SELECT image_id, {['jpeg', 'jpeg', None, 'avif', 'tiff']!r}[image_id % 5 + 1] AS format FROM (SELECT vec_id AS image_id FROM embeddings)".replace("None", "NULL"), "")(
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("image_id"),
+        metadata.infer_format(*[F.element_at(F.array(*[F.lit(x) for x in names[:5]]), (F.col("vec_id") % 5 + 1).cast("int")) for names in (_MIMES, _BY_NAME)]).alias("format"),
+    )
+)
 _RAW_SQL = f"(SELECT vec_id AS image_id, {_RAW_NAMES}[vec_id % {len(_RAW_NAMES)} + 1] AS raw FROM embeddings)"
 query("normalize_format", f"{_NAMES_SQL} AS format FROM {_RAW_SQL}", "")(lambda s, d: _raw_names(s, d).withColumn("format", metadata.normalize_format(F.col("raw"))))
 query("can_encode", f"SELECT image_id, format, format IN ('png', 'jpeg', 'webp', 'avif') AS encodable, CASE WHEN format IN ('jpeg', 'webp', 'avif') THEN {D(0.92)} END AS quality FROM ({_NAMES_SQL} AS format FROM {_RAW_SQL})", "")(
@@ -337,11 +353,34 @@ query("conversion_metrics", "SELECT page_id, greatest(0, before - after) AS save
     lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length("html").cast("long").alias("p"), (F.length("url") * 40).cast("long").alias("q")).select("page_id", metadata.saved_bytes(F.col("p"), F.col("q")).alias("saved_bytes"), metadata.saved_ratio(F.col("p"), F.col("q")).alias("saved_ratio"))
 )
 _AX = lambda lo, hi, n, t: f"CASE WHEN anchor LIKE '{lo}' THEN 24 + {t} / {D(2)} WHEN anchor LIKE '{hi}' THEN {n} - 24 - {t} / {D(2)} ELSE {n} / {D(2)} END"
-query("watermark_anchor", f"SELECT image_id, anchor, {_AX('%left', '%right', 'width', 90)} AS x, {_AX('top%', 'bottom%', 'height', 48)} AS y FROM (SELECT *, unnest({metadata.ANCHORS}) AS anchor FROM img)", DIMS_VIEW)(lambda s, d: watermark.anchors(dims(L(s, d)), 90, 48))
-query("watermark_grid", f", g AS (SELECT image_id, width, height, CAST(ceil(sqrt(CAST(width * width + height * height AS DOUBLE))) AS INTEGER) AS d FROM img), s AS (SELECT *, unnest(range(-d, d + 1, 15)) AS gx FROM g), u AS (SELECT *, unnest(range(-d, d + 1, 9)) AS gy FROM s) SELECT image_id, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, width / {D(2)} + gx AS x, height / {D(2)} + gy AS y FROM u", DIMS_VIEW)(lambda s, d: watermark.stamp_grid(dims(L(s, d)), 10, 4, 5, 0))
+query("watermark_anchor", f"SELECT image_id, anchor, {_AX('%left', '%right', 'width', 90)} AS x, {_AX('top%', 'bottom%', 'height', 48)} AS y FROM (SELECT *, unnest(['top-left', 'top-center', 'top-right', 'center-left', 'center', 'center-right', 'bottom-left', 'bottom-center', 'bottom-right']) AS anchor FROM img)", DIMS_VIEW)(lambda s, d: watermark.anchors(dims(L(s, d)), 90, 48))
+query("watermark_grid", f", g AS (SELECT image_id, width, height, CAST(ceil(sqrt(CAST(width * width + height * height AS DOUBLE))) AS INTEGER) AS d FROM img), s AS (SELECT *, unnest(range(-d, d, 15)) AS gx FROM g), u AS (SELECT *, unnest(range(-d, d, 9)) AS gy FROM s) SELECT image_id, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, width / {D(2)} + gx AS x, height / {D(2)} + gy AS y FROM u", DIMS_VIEW)(lambda s, d: watermark.stamp_grid(dims(L(s, d)), 10, 4, 5, 0))
 _FONTS = ["bold 24px Arial", "24px Arial", " 12pt serif", "0px x", "large", "7 px"]
 query("watermark_font_height", f"SELECT font, CASE font WHEN '24px Arial' THEN 24 WHEN ' 12pt serif' THEN 12 WHEN '7 px' THEN 7 ELSE 48 END AS text_height FROM (SELECT unnest({_FONTS}) AS font)", "")(lambda s, d: watermark.font_heights(s.createDataFrame([(f,) for f in _FONTS], "font string")))
-query("watermark_text")(lambda s, d: watermark.text_watermark(L(s, d), "AB", "bottom-right", 7, margin=2))
+
+
+def _mark_sql(text: str, place: str, own: float) -> str:
+    """Pixels with white text of 7 pixels; ``place`` has du and dv, the place from its top left corner."""
+    rows = watermark.glyph_rows(text)
+    hit = f"du >= 0 AND du < {6 * len(text)} AND dv >= 0 AND dv < 7 AND du % 6 < 5 AND (({rows}[CAST(du // 6 * 7 + dv AS INTEGER) + 1] >> CAST(4 - du % 6 AS INTEGER)) & 1) = 1"
+    alpha = f"({D(own)} + a / {D(255)} * {D(1 - own)})"
+    mixed = ", ".join(f"CASE WHEN hit THEN {J(f'({D(255 * own)} + {c} * (a / {D(255)}) * {D(1 - own)}) / greatest({alpha}, {D(1e-12)})')} ELSE {c} END AS {c}" for c in "rgb")
+    return f", placed AS ({place}), hits AS (SELECT *, {hit} AS hit FROM placed) SELECT {PIX}, {mixed}, CASE WHEN hit THEN {J(f'{alpha} * {D(255)}')} ELSE a END AS a FROM hits"
+
+
+query("watermark_text", _mark_sql("Ab 7", "SELECT *, CAST(x - (width - 2 - 24) AS BIGINT) AS du, CAST(y - (height - 2 - 7) AS BIGINT) AS dv FROM pix", 0.6), L_VIEW)(
+    lambda s, d: watermark.text_watermark(L(s, d), "Ab 7", "7px x", margin=2)
+)
+_TURN = math.radians(30)
+_AROUND = f"""SELECT *, (x + {D(0.5)} - width / {D(2)}) * {D(repr(math.cos(_TURN)))} + (y + {D(0.5)} - height / {D(2)}) * {D(repr(math.sin(_TURN)))} AS u,
+  (y + {D(0.5)} - height / {D(2)}) * {D(repr(math.cos(_TURN)))} - (x + {D(0.5)} - width / {D(2)}) * {D(repr(math.sin(_TURN)))} AS v,
+  CAST(ceil(sqrt(CAST(width * width + height * height AS DOUBLE))) AS BIGINT) AS d FROM pix"""
+# every stamp of the two loops is tried for every pixel
+_STAMPS = f"""SELECT p.*, coalesce(s.du, -1) AS du, coalesce(s.dv, -1) AS dv FROM ({_AROUND}) p LEFT JOIN (
+  SELECT image_id, x, y, CAST(floor(u - gx + 6) AS BIGINT) AS du, CAST(floor(v - gy + {D(3.5)}) AS BIGINT) AS dv
+  FROM (SELECT *, unnest(range(-d, d, 16)) AS gx FROM ({_AROUND})) q, LATERAL (SELECT unnest(range(-q.d, q.d, 11)) AS gy) r
+  WHERE u - gx + 6 >= 0 AND u - gx + 6 < 12 AND v - gy + {D(3.5)} >= 0 AND v - gy + {D(3.5)} < 7) s USING (image_id, x, y)"""
+query("watermark_tiled", _mark_sql("X9", _STAMPS, 0.3), L_VIEW)(lambda s, d: watermark.text_watermark(L(s, d), "X9", "7px x", opacity=0.5, rotation=30, tile_mode="tile", tile_spacing=4))
 query("ai_mask_options", f"SELECT vec_id, greatest({D(0)}, c - 32) AS threshold, {D(54)} AS softness, 2 AS feather_radius, {D(34)} + g * {D(0.35)} AS edge_sensitivity FROM (SELECT vec_id, CAST(vec_id % 256 AS DOUBLE) AS c, CAST(vec_id % 101 AS DOUBLE) AS g FROM embeddings)", "")(
     lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", *[v.alias(k) for k, v in metadata.ai_mask_columns((F.col("vec_id") % 256).cast("double"), (F.col("vec_id") % 101).cast("double")).items()])
 )
@@ -354,9 +393,13 @@ query("stream_bytes_total", "SELECT count(*) AS chunks, CAST(coalesce(sum(strlen
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    from .streaming import chunk_total
-
-    return chunk_total(spark.read.parquet(f"{sf}/pages.parquet").select(F.encode("html", "UTF-8").alias("content")))
+    """Pages as a stream of chunks, through the bounded buffer."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/pages.parquet")
+    one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()  # a stream reads folders
+    reader = spark.readStream.schema(pages)
+    stream = reader.option("pathGlobFilter", "pages.parquet").parquet(sf) if one else reader.parquet(f"{sf}/pages.parquet")
+    return ring_total(stream.select(F.encode("html", "UTF-8").alias("content")))
 
 
 # The builder ------------------------------------------------------------------------------
@@ -364,7 +407,13 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 _CHAIN = f""", c AS (SELECT image_id, 12 AS width, 10 AS height, x - 4 AS x, y - 6 AS y, r, g, b, a FROM pix WHERE x >= 4 AND x < 16 AND y >= 6 AND y < 16), {_stencil_ctes("smoothEnhance", "c", "sm")},
 adj AS (SELECT {PIX}, {", ".join(f"{t}[{c} + 1] AS {c}" for c, t in zip("rgb", _TABLES, strict=True))}, a FROM sm)"""
 query("edit_chain", f"{_CHAIN} SELECT * FROM adj", L_VIEW)(lambda s, d: edit(L(s, d)).crop(4, 6, 12, 10).filter("smoothEnhance").adjust(**_TONE).to_df())
-query("ai_remove_background")(lambda s, d: ai.remove_background(E(s, d)))
+_AI_VIEW = f"{E_VIEW}, mask AS (SELECT image_id, x, y, {LUMA} AS m FROM pix)"
+_AI_FINE = f"{_feather(2, 58.5)}, fine AS (SELECT image_id, x, y, {_smooth('m', 6, 60)} AS m FROM soft)"
+query("ai_remove_background", f"{_AI_FINE} SELECT p.image_id, p.width, p.height, p.x, p.y, r, g, b, {J(f'a * m / {D(255)}')} AS a FROM pix p JOIN fine f ON p.image_id = f.image_id AND p.x = f.x AND p.y = f.y", _AI_VIEW)(lambda s, d: ai.remove_background(E(s, d)))
+query("backend_arrow", f", {_stencil_ctes('smoothEnhance', 'pix', 'out')} SELECT * FROM out")(lambda s, d: backend.apply_filter(E(s, d), "smoothEnhance", "arrow"))
+_WHOLE = f""", c AS (SELECT image_id, 5 AS width, 6 AS height, x - 1 AS x, y - 2 AS y, r, g, b, CAST(floor(a * m / {D(255)} + {D(0.5)}) AS INTEGER) AS a FROM pix p JOIN fine f USING (image_id, x, y) WHERE x >= 1 AND x < 6 AND y >= 2 AND y < 8),
+flat AS (SELECT {PIX}, {_FILL}, 255 AS a FROM c)"""
+query("edit_mask_background", f"{_FINE}{_WHOLE} SELECT * FROM flat", MASK_VIEW)(lambda s, d: edit(E(s, d)).mask(masks_of(E(s, d))).crop(1, 2, 5, 6).background((12, 200, 99)).to_df())
 
 
 @query("flagship", f"{_CHAIN}, flat AS (SELECT image_id, r, g, b FROM adj){_STATS.replace('FROM pix', 'FROM flat')} SELECT s.*, {_B} AS brightness, {_C} AS contrast FROM st s", L_VIEW)

@@ -11,13 +11,19 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import positive_int, require
+from .jpeg import encode_jpeg
 
 PIXEL = ["image_id", "width", "height", "x", "y", "r", "g", "b", "a"]
+PIXEL_SCHEMA = "image_id long, " + ", ".join(f"{c} int" for c in PIXEL[1:])
+#: Pixels that Python hands to the JVM at a time.
+BATCH_PIXELS = 1 << 18
 
 
 def check_colour(colour) -> tuple[int, int, int, int]:
@@ -31,12 +37,14 @@ def create_images(spark: SparkSession, width: int, height: int, colour=(0, 0, 0,
     positive_int(width, "width"), positive_int(height, "height")
     require(width * height < 2**53, "width * height is too large.")
     r, g, b, a = check_colour(colour)
-    grid = spark.range(width * height)
-    base = grid if ids is None else ids.select("image_id").crossJoin(F.broadcast(grid)) if width * height <= 1_000_000 else ids.select("image_id").withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long"))))
-    image_id = F.lit(0).cast("long") if ids is None else F.col("image_id")
-    return base.select(
-        image_id.alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"),
-        (F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"),
+    # rows of the images first, dealt out, then their columns: no task makes a large image alone
+    if ids is None:
+        rows = spark.range(height).select(F.lit(0).cast("long").alias("image_id"), F.col("id").cast("int").alias("y"))
+    else:
+        rows = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id", "y")
+    return rows.select(
+        "image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y",
         *[F.lit(v).alias(c) for c, v in zip("rgba", (r, g, b, a), strict=True)],
     )
 
@@ -92,22 +100,33 @@ def pack_images(pixels: DataFrame) -> DataFrame:
 def checked_images(images: DataFrame) -> DataFrame:
     """I-form with the length contract enforced on every row."""
     want = F.col("width").cast("long") * F.col("height") * 4
-    bad = F.concat(F.lit("RGBA buffer length mismatch: expected "), want.cast("string"), F.lit(" bytes, got "), F.length("data").cast("string"), F.lit("."))
+    bad = F.concat(F.lit("The image data have the wrong length: "), F.length("data").cast("string"), F.lit(" bytes instead of "), want.cast("string"), F.lit("."))
     ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("data") == want)
     return images.withColumn("data", F.when(ok, F.col("data")).otherwise(F.raise_error(bad).cast("binary")))
 
 
 def unpack_images(images: DataFrame) -> DataFrame:
-    """I to P."""
-    n = (F.col("width") * F.col("height") - 1).cast("int")
-    rows = checked_images(images).select("image_id", "width", "height", "data", F.explode(F.sequence(F.lit(0), n)).alias("k"))
-    word = F.conv(F.hex(F.substring(F.col("data"), F.col("k") * 4 + 1, F.lit(4))), 16, 10).cast("long")
-    rows = rows.select("image_id", "width", "height", "k", word.alias("v"))
-    part = lambda s: (F.shiftright("v", s) % 256).cast("int")
-    return rows.select(
-        "image_id", "width", "height", (F.col("k") % F.col("width")).cast("int").alias("x"), F.floor(F.col("k") / F.col("width")).cast("int").alias("y"),
-        part(24).alias("r"), part(16).alias("g"), part(8).alias("b"), part(0).alias("a"),
-    )
+    """I to P: numpy cuts the bytes up, some rows of an image at a time; nothing moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, w, h, data in zip(*batch.columns, strict=True):
+                w, h = w.as_py(), h.as_py()
+                yield from pixel_batches(image_id.as_py(), w, h, (0, 0, w, h), data.as_buffer())
+
+    return checked_images(images).select("image_id", "width", "height", "data").mapInArrow(run, PIXEL_SCHEMA)
+
+
+def pixel_batches(image_id: int, width: int, height: int, rect: tuple[int, int, int, int], data) -> Iterator[pa.RecordBatch]:
+    """Pixel rows of the bytes of one rectangle of an image, about BATCH_PIXELS at a time."""
+    left, top, w, h = rect
+    rgba = np.frombuffer(data, np.uint8).reshape(h, w, 4)
+    step = max(1, BATCH_PIXELS // w)
+    for at in range(0, h, step):
+        part = rgba[at : at + step].reshape(-1, 4)
+        y, x = np.divmod(np.arange(len(part), dtype=np.int32), np.int32(w))
+        fixed = [pa.array(np.full(len(part), v, kind)) for v, kind in ((image_id, np.int64), (width, np.int32), (height, np.int32))]
+        yield pa.record_batch([*fixed, pa.array(x + np.int32(left)), pa.array(y + np.int32(top + at)), *[pa.array(part[:, c].astype(np.int32)) for c in range(4)]], PIXEL)
 
 
 # Files -----------------------------------------------------------------------------------
@@ -115,8 +134,6 @@ def unpack_images(images: DataFrame) -> DataFrame:
 
 def _rgba(width: int, channels: int, raw: bytes) -> bytes:
     """Rows of B, BGR or BGRA bytes as RGBA."""
-    import numpy as np
-
     data = np.frombuffer(raw, np.uint8).reshape(-1, channels)
     out = np.full((len(data), 4), 255, np.uint8)
     if channels == 1:
@@ -128,17 +145,23 @@ def _rgba(width: int, channels: int, raw: bytes) -> bytes:
     return out.tobytes()
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, keep_broken: bool = False) -> DataFrame:
     """Image files of any format that the JVM decodes, as I-form with ``origin``; image_id is a
-    hash of the origin."""
+    hash of the origin.  A file that can't be decoded is an error, or with ``keep_broken`` a row
+    whose width, height and data are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin, width, height, channels, raw = batch.columns
-            data = [_rgba(w.as_py(), c.as_py(), d.as_py()) for w, c, d in zip(width, channels, raw, strict=True)]
-            yield pa.record_batch([origin, width, height, pa.array(data, pa.binary())], ["origin", "width", "height", "data"])
-
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+            fine = pa.array([w.as_py() > 0 for w in width], pa.bool_())
+            data = [_rgba(w.as_py(), c.as_py(), d.as_py()) if f.as_py() else None for w, c, d, f in zip(width, channels, raw, fine, strict=True)]
+            sizes = [pc.if_else(fine, x, pa.scalar(None, pa.int32())) for x in (width, height)]
+            yield pa.record_batch([origin, *sizes, pa.array(data, pa.binary())], ["origin", "width", "height", "data"])
+
+    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    if not keep_broken:
+        message = F.concat(F.lit("This file is no image that can be decoded: "), "origin")
+        raw = raw.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(F.raise_error(message).cast("int")))
     rows = raw.mapInArrow(run, "origin string, width int, height int, data binary")
     return rows.select(F.xxhash64("origin").alias("image_id"), "width", "height", "data", "origin")
 
@@ -153,19 +176,21 @@ def encode_png(width: int, height: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
 
 
-def encode_images(images: DataFrame, format: str = "png") -> DataFrame:
-    """I-form with ``blob`` (the encoded file) in place of data.  PNG is built in; other formats
-    need a codec that this environment does not have."""
-    require(format == "png", f"No encoder for {format} is available.")
+def encode_images(images: DataFrame, format: str = "png", quality: float = 0.92, background: tuple[int, int, int] = (255, 255, 255), keep: tuple[str, ...] = ()) -> DataFrame:
+    """I-form with ``blob`` (the encoded file) in place of data, and the columns ``keep``.  PNG and
+    JPEG are built in (JPEG over ``background``); other formats need a codec that is not there."""
+    require(format in ("png", "jpeg"), f"No encoder for {format} is available.")
+    encode = encode_png if format == "png" else lambda w, h, d: encode_jpeg(w, h, d, quality, background)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, width, height, data = batch.columns
-            blobs = [encode_png(w.as_py(), h.as_py(), d.as_py()) for w, h, d in zip(width, height, data, strict=True)]
-            yield pa.record_batch([ids, width, height, pa.array(blobs, pa.binary())], ["image_id", "width", "height", "blob"])
+            ids, width, height, data, *rest = batch.columns
+            blobs = [encode(w.as_py(), h.as_py(), d.as_py()) for w, h, d in zip(width, height, data, strict=True)]
+            yield pa.record_batch([ids, width, height, pa.array(blobs, pa.binary()), *rest], ["image_id", "width", "height", "blob", *keep])
 
-    rows = checked_images(images).select("image_id", "width", "height", "data")
-    return rows.mapInArrow(run, "image_id long, width int, height int, blob binary")
+    rows = checked_images(images).select("image_id", "width", "height", "data", *keep)
+    extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"image_id long, width int, height int, blob binary{extra}")
 
 
 def optimize_images(images: DataFrame) -> DataFrame:

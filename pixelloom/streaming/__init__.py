@@ -1,2 +1,2 @@
 """Bounded ingestion of byte chunks."""
-from .ingest import ByteRing, chunk_stream, chunk_total, pipe_chunks  # noqa: F401
+from .ingest import ByteRing, chunk_stream, chunk_total, pipe_chunks, ring_total  # noqa: F401

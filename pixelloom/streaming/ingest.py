@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -71,6 +74,46 @@ def run_chunks(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ring_total(stream: DataFrame, capacity: int = 64 * 1024 * 1024, column: str = "content", folder: str | None = None) -> DataFrame:
+    """(chunks, total_bytes) of a stream of chunks that is there now: every batch goes through a
+    bounded buffer in each task, and its totals are written before the next one starts.
+
+    ``folder`` is shared by driver and executors: that of ``spark.checkpoint.dir`` by default, a
+    temporary one where the master is local.
+    """
+    spark = stream.sparkSession
+    base = f"{folder or shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+
+        def chunks() -> Iterator[bytes]:
+            nonlocal count
+            for batch in batches:
+                for chunk in batch.column(0):
+                    count += 1
+                    yield chunk.as_py() or b""
+
+        total = pipe_chunks(chunks(), lambda chunk: None, capacity)
+        yield pa.record_batch([pa.array([count], pa.int64()), pa.array([total], pa.int64())], ["chunks", "total_bytes"])
+
+    def on_batch(rows: DataFrame, number: int) -> None:
+        rows.select(column).mapInArrow(run, "chunks long, total_bytes long").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    run_chunks(stream, on_batch, f"{base}/state").awaitTermination()
+    done = spark.read.schema("chunks long, total_bytes long").option("recursiveFileLookup", True).parquet(f"{base}/out")
+    return done.agg(F.coalesce(F.sum("chunks"), F.lit(0).cast("long")).alias("chunks"), F.coalesce(F.sum("total_bytes"), F.lit(0).cast("long")).alias("total_bytes"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is not set, a temporary folder, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    require(spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master, "Set spark.checkpoint.dir to a folder that all executors share.")
+    return "file://" + tempfile.mkdtemp(prefix="scratch-")
+
+
 def chunk_total(chunks: DataFrame, column: str = "content") -> DataFrame:
     """(chunks, total_bytes) of a table or stream of chunks."""
     return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length(column)), F.lit(0)).cast("long").alias("total_bytes"))

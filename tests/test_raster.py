@@ -97,7 +97,7 @@ def test_tiling_goldens(spark):
 def test_tile_size_and_path_do_not_matter(spark, name, tile):
     px = image(spark, 5, [((i * 37) % 256, (i * 91) % 256, (i * i) % 256, 255 - i) for i in range(35)])
     want = values(stencil.stencil(px, name))
-    assert values(stencil.halo_stencil(px, name, tile)) == want
+    assert values(stencil.stencil(px, name, tile)) == want
     assert values(arrow.process(px, name, tile, 1)) == want
     assert values(unpack_images(arrow.filter_images(pack_images(px), [name]))) == want
 
@@ -140,7 +140,7 @@ def test_builder_rules(spark):
         lambda s: exprs.check_adjust(hue=181), lambda s: exprs.check_adjust(gamma=0), lambda s: metadata.check_watermark(" "), lambda s: metadata.check_watermark("a", opacity=2),
         lambda s: metadata.normalize_format_name("xyz"), lambda s: metadata.check_quality(1.5), lambda s: tiling.choose_tile_size(1, 1), lambda s: ByteRing(0),
         lambda s: metadata.ai_mask_options(cutoff=300), lambda s: exprs.check_kernel([1.0]), lambda s: stencil.apply_filters(create_images(s, 1, 1), []),
-        lambda s: watermark.stamp_grid(create_images(s, 1, 1), 5, 5, 0), lambda s: edit(create_images(s, 1, 1)).crop(-1, 0, 1, 1), lambda s: encode_images(pack_images(create_images(s, 1, 1)), "jpeg"),
+        lambda s: watermark.stamp_grid(create_images(s, 1, 1), 5, 5, 0), lambda s: edit(create_images(s, 1, 1)).crop(-1, 0, 1, 1), lambda s: encode_images(pack_images(create_images(s, 1, 1)), "webp"),
         lambda s: ai.pick_channel(__import__("numpy").zeros((1, 1, 2))), lambda s: arrow.process(create_images(s, 4, 4), "sharpen3x3", 2, 0),
     ],
 )
