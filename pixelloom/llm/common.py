@@ -13,6 +13,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,27 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 
 
 class Scratch:
-    """Intermediate Parquet tables in the shared checkpoint folder."""
+    """Intermediate Parquet tables in the shared checkpoint folder.
+
+    Without ``spark.checkpoint.dir`` a local master gets a temporary folder; a cluster is an error,
+    as its executors share none.  Tables that a returned DataFrame still reads stay until
+    ``release``.
+    """
+
+    #: Folders that are not deleted yet.
+    live: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
             base = "file://" + tempfile.mkdtemp(prefix="scratch-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.base = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        self.live.append(self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -48,15 +61,26 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads, and let Spark free shuffle files."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = hadoop(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, [f"{self.base}/{name}" for name in names])
         gc.collect()
         self.spark._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete what operators of this process have written to the shared folder, but for the folders
+    ``keep``: once their results are written, nothing reads it any more."""
+    gone = [f for f in Scratch.live if f not in keep]
+    _delete(spark, gone)
+    Scratch.live[:] = [f for f in Scratch.live if f in keep]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place where possible."""
     x = x ^ (x >> U64(31))
@@ -169,7 +193,11 @@ def word_lists(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows, with unused memory given back at the end."""
+    """df.mapInArrow in batches of at most BATCH_ROWS rows, with unused memory given back at the end.
+
+    Spark reads the size of batches from the session when the plan runs, which is after this
+    returns, so the setting stays lowered; a lower one of the caller's is kept.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))

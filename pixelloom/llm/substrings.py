@@ -180,8 +180,8 @@ def _symbols(width: int, rounds: int):
             symbol = chosen[at]
             new = np.ones(len(at), bool)
             new[1:] = (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1])
-            doc = chunk.column(0).to_numpy(zero_copy_only=False)[text[new]]
-            yield pa.record_batch([pa.array(symbol[new].view(np.int64)), pa.array(doc, pa.int64())], ["k", "d"])
+            doc, part = (chunk.column(c).to_numpy(zero_copy_only=False)[text[new]] for c in (0, 2))
+            yield pa.record_batch([pa.array(symbol[new].view(np.int64)), pa.array(doc, pa.int64()), pa.array(part, pa.int32())], ["k", "d", "part"])
 
     return run
 
@@ -207,14 +207,16 @@ def _windows(width: int, rounds: int):
             keys, key_at = _ranges(chunk.column(2))
             low, low_at = _ranges(chunk.column(3))
             high, _ = _ranges(chunk.column(4))
-            docs, prints = (chunk.column(c).to_numpy(zero_copy_only=False) for c in (0, 5))
+            owner, _ = _ranges(chunk.column(5))
+            docs, prints = (chunk.column(c).to_numpy(zero_copy_only=False) for c in (0, 6))
             out = []
             for i in range(chunk.num_rows):
                 a, b = first[i], first[i + 1] - width + 1
                 shared = keys[key_at[i] : key_at[i + 1]]
                 if b > a and len(shared):
                     part = slice(low_at[i], low_at[i + 1])
-                    settled = _spread(low[part], high[part], b - a)
+                    mine = owner[part] == prints[i]
+                    settled = _spread(low[part][mine], high[part][mine], b - a)
                     out.append((i, a + np.flatnonzero(~settled & np.isin(chosen[a:b], shared))))
             if not out:
                 continue
@@ -255,7 +257,9 @@ def _shared(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> Da
     """(keys, least) of keys under several d, written: a join with a table that is read can deal
     out a key of very many rows to several tasks, one with an aggregation can't."""
     low = rows.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most")
-    return scratch.save(low.select(*keys, "least"), name)
+    low = scratch.save(low.select(*keys, "least"), name)
+    scratch.drop()  # the sums' shuffle files go before the join writes its own
+    return low
 
 
 def _earlier(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -268,6 +272,11 @@ def _fingerprint() -> Column:
     return F.xxhash64("text")
 
 
+def _part(print_: Column) -> Column:
+    """Half of a fingerprint.  It deals out the rows of one doc_id where a mix-up does no harm."""
+    return F.shiftright(print_, 32).cast("int").alias("part")
+
+
 def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Windows whose words also start in a document with a smaller doc_id, as word places:
     (d, f, starts) one by one, and (d, f, low, high) for all windows that start in low..high, of the
@@ -278,14 +287,21 @@ def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds:
     settled = _earlier(longs, scratch, "low-longs").groupBy("d", "f").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     settled = scratch.save(settled.select("d", "f", F.col("x.s").alias("low"), F.col("x.e").alias("high")), "settled")
     scratch.drop("longs", "low-longs")
-    symbols = scratch.save(in_arrow(rows.drop("f"), _symbols(width, rounds), "k long, d long"), "symbols")
+    parted = rows.select("doc_id", "text", _part(F.col("f")))
+    symbols = scratch.save(in_arrow(parted, _symbols(width, rounds), "k long, d long, part int"), "symbols")
     shared = _shared(symbols, ["k"], scratch, "shared").select("k")
-    own = scratch.save(symbols.join(shared, "k").groupBy("d").agg(F.collect_set("k").alias("keys")), "keys")
+    own = scratch.save(symbols.join(shared, "k").groupBy("d", "part").agg(F.collect_set("k").alias("keys")), "keys")
     scratch.drop("symbols", "shared")
-    found = rows.join(own, rows.doc_id == own.d).drop("d").join(settled.withColumnRenamed("d", "doc_id"), ["doc_id", "f"], "left")
-    found = found.select("doc_id", "text", "keys", "low", "high", "f")
-    windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, f long, s array<int>"), "windows")
+    # what is known of a (doc_id, part) meets first, so that the texts move once
+    ranges = settled.select("d", _part(F.col("f")), F.explode(F.arrays_zip("low", "high")).alias("x"), "f")
+    ranges = ranges.groupBy("d", "part").agg(F.collect_list(F.struct("x.low", "x.high", "f")).alias("x"))
+    ranges = ranges.select("d", "part", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.f").alias("owner"))
+    known = scratch.save(own.join(ranges, ["d", "part"], "left"), "known")
     scratch.drop("keys")
+    dealt = rows.withColumn("part", _part(F.col("f"))).withColumnRenamed("doc_id", "d")
+    found = dealt.join(known, ["d", "part"]).select("d", "text", "keys", "low", "high", "owner", "f")
+    windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, f long, s array<int>"), "windows")
+    scratch.drop("known")
     later = _earlier(windows, scratch, "low-windows").groupBy("d", "f").agg(F.flatten(F.collect_list("s")).alias("starts"))
     later = scratch.save(later, "later")
     scratch.drop("windows", "low-windows")
