@@ -13,7 +13,9 @@ never a row for each pair.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and keep themselves.  Vectors of another length than most are compared
 among their own length, in one cell.  A row with a null vec_id has a null component and no
-link; rows that repeat a vec_id are one vector.  Labels and extra columns are ignored.
+link.  Rows that repeat a vec_id with equal vectors are one; with different ones each is
+compared, and the id has the smallest component and all links of them.  An empty table gives an
+empty result.  Labels and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, grouped, in_arrow, list_column
-from .jaccard import finish
+from .jaccard import about_classes, by_document
 
 THRESHOLD = 0.95
 RECALL = 0.99
@@ -206,9 +208,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     )
     keyed = rows.where("vec_id is not null").withColumn("lone", ~fine)
     keyed = keyed.withColumn("f", F.xxhash64("vector")).withColumn("g", F.xxhash64(F.reverse("vector"), F.lit(5)))
-    each = scratch.save(keyed.groupBy("vec_id").agg(F.min(F.struct("lone", "f", "g")).alias("s")).select("vec_id", "s.*"), "each")
-    classes = scratch.save(each.where("not lone").groupBy("f", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    reps = keyed.where("not lone").withColumnRenamed("vec_id", "id").join(classes, ["id", "f", "g"])
+    each = scratch.save(keyed.select("vec_id", "lone", "f", "g").distinct(), "each")
+    classes = each.where("not lone").groupBy("f", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # numbered, as an id with several vectors may stand for several classes
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("id"), "f", "g", "least", "copies"), "classes")
+    reps = keyed.where("not lone").withColumnRenamed("vec_id", "least").join(classes, ["least", "f", "g"])
     reps = scratch.save(reps.groupBy("id", "copies").agg(F.first("vector").alias("vector")), "reps")
     lengths = reps.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     index, width = None, 0
@@ -230,5 +234,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     pairs = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     found = scratch.save(in_arrow(pairs, _verify(threshold), "id long, links long, root long"), "found")
     scratch.drop("filed")
-    out = finish(each, ["f", "g"], classes, found, scratch, "vec_id", rows)
+    scratch.drop("reps", "blocks")
+    out = by_document(each, ["f", "g"], about_classes(["f", "g"], classes, found, scratch), "vec_id", rows)
     return out.select("vec_id", "n_links", F.col("class_id").alias("component_id"), "kept")

@@ -39,7 +39,7 @@ def awkward(spark):
         (8, "repeat this row please " * 5, "fr", "s", 9), (8, "repeat this row please " * 5, "fr", "s", 9), (9, "\u00e9\u00e8 \U0001f600 \u4e2d\u6587", "es", "u", 7), (10, "123 456 !!", None, "u", 9),
     ]
     df = spark.createDataFrame(rows, DOC)
-    for c in ("id", "size", "d", "block", "x", "component", "keys", "low", "high", "starts", "f", "g", "n", "blocks", "copies"):
+    for c in ("id", "size", "d", "block", "x", "component", "keys", "low", "high", "starts", "f", "g", "n", "blocks", "copies", "p", "part", "owner", "unit", "units", "band", "k", "ks", "least", "h", "toxic"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -307,6 +307,36 @@ def test_jaccard_awkward(spark, awkward):
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
+def test_jaccard_rows_of_one_doc_id_are_judged_each(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows: sorted((tuple(r) for r in jaccard.keep_one(table(rows)).collect()), key=str)
+    assert kept([(1, b), (2, a), (2, b)]) == [(1, b), (2, a)]
+    assert kept([(1, a), (2, a), (2, b)]) == [(1, a), (2, b)]
+    alone = [(1, a), (1, a), (None, a), (3, None), (3, "")]
+    assert kept(alone) == sorted(alone, key=str)
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in jaccard.join(table([(1, b), (2, a), (2, b), (3, a), (3, None)])).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 2), 3: (2, 2, 1)}
+
+
+def test_jaccard_long_chain_is_cut_by_bands(spark, monkeypatch):
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words[8 * k : 8 * k + 120]) for k in range(40)]  # each is near to the next one only
+    want = jaccard_brute(texts)
+    assert {v[1] for v in want.values()} == {1, 2}
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
+    most, real = [], jaccard._units
+
+    def units(*given):
+        out = real(*given)
+        most.append(out.agg(F.max(F.size("units"))).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "_units", units)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs(spark, texts)).collect()} == want
+    assert most[0] > 1
+
+
 # 6 Chat ----------------------------------------------------------------------------------------
 
 
@@ -381,6 +411,15 @@ def test_embeddings_by_brute_force(spark, monkeypatch, block):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_rows_of_one_vec_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, b), (2, a), (2, b), (3, a), (3, None), (None, a), (None, None), (4, [0.0, 1.0, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id is not null").collect())
+    assert got == [(1, 1, 1, True), (2, 2, 1, False), (3, 1, 2, False), (4, 0, 4, True)]
+    none = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id is null").collect()
+    assert [tuple(r) for r in none] == [(None, 0, None, True)] * 2
+
+
 # 8 Language ----------------------------------------------------------------------------------------
 
 
