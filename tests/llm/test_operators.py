@@ -320,8 +320,8 @@ def test_jaccard_rows_of_one_doc_id_are_judged_each(spark):
 
 
 def test_jaccard_long_chain_is_cut_by_bands(spark, monkeypatch):
-    words = [f"w{k}" for k in range(600)]
-    texts = [" ".join(words[8 * k : 8 * k + 120]) for k in range(40)]  # each is near to the next one only
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[4 * k : 4 * k + 60]) for k in range(200)]  # each is near to the next one only
     want = jaccard_brute(texts)
     assert {v[1] for v in want.values()} == {1, 2}
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
