@@ -29,10 +29,13 @@ URL_RULES = [
 
 
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, bad): a page has the label of the document with its number; low quality or toxic is bad."""
+    """(url, bad): a page is the document whose number ends the path of its url and has its label;
+    low quality or toxic is bad."""
     bad = F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
     labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(bad.alias("bad"))
-    return _table(spark, sf_dir, "pages").join(labels, F.col("page_id") == F.col("doc_id")).select("url", "bad")
+    number = F.regexp_extract(urls.path_column(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    pages = _table(spark, sf_dir, "pages").select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id")).where("doc_id is not null")
+    return pages.join(labels, "doc_id").select("url", "bad")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,7 @@ def test_urls_by_brute_force(spark, sf):
 
 def test_url_index_equals_scan():
     rules = [(["a", "b"], True, 0.9), (["b"], True, 0.7), (["c", "d"], True, 0.8)]
+    assert urls.Index([([["a", "e"], "b"], True, 0.9)]).best(["b", "e"]) == (0.9, True)
     for own in (["a", "b"], ["b"], ["c"], ["c", "d", "b"], []):
         want = max([(c, bad) for parts, bad, c in rules if set(parts) <= set(own)], default=(0.0, False))
         assert urls.Index(rules).best(own) == want
@@ -119,6 +120,56 @@ def test_urls_rule_of_four_tokens(spark):
     assert {r.page_id: r.verdict for r in urls.filter_urls(pages, labelled, []).collect()} == {1: "block", 2: "allow"}
 
 
+def rules_by_brute_force(rows, support, confidence, least):
+    """All combinations of all tokens, counted one by one; then the bounds and the pruning."""
+    from itertools import combinations
+
+    own = [(frozenset(urls.tokens(u)), bad) for u, bad in rows]
+    enough = max(support, least / len(own)) * len(own) - 1e-9
+    seen = {frozenset(c) for tokens, _ in own for k in range(1, len(tokens) + 1) for c in combinations(sorted(tokens), k)}
+    found = {}
+    for c in seen:
+        total = sum(c <= t for t, _ in own)
+        for bad in (True, False):
+            n, base = sum(c <= t and b == bad for t, b in own), sum(b == bad for _, b in own) / len(own)
+            if n < enough:
+                continue
+            share, z = n / total, urls.SURE
+            low = (share + z * z / (2 * total) - z * (share * (1 - share) / total + z * z / (4 * total * total)) ** 0.5) / (1 + z * z / total)
+            raised = share > urls.LEAST_CONFIDENCE and share >= urls.LIFT * base
+            if share >= confidence and (bad or low > base) or bad and raised and low > base:
+                found[c, bad] = share
+    return {(c, bad): s for (c, bad), s in found.items() if not any(found.get((c - {t}, bad), 0) >= s for t in c)}
+
+
+def test_url_mining_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        path = [p for p in ("win", "news", "shop", "blog") if rng.random() < 0.4]
+        host = ["ok", "pills", "mail", "ok", "mail", "mail"][int(rng.integers(6))]
+        risk = 0.9 if {"win", "shop"} <= set(path) else 0.62 if host == "pills" else 0.05
+        query = "?a=1&b=2&c=3" if rng.random() < 0.2 else ""  # three names that always come together
+        rows.append((f"http://{host}.com/{'/'.join(path)}/{i}{query}", bool(rng.random() < risk)))
+    want = rules_by_brute_force(rows, 0.02, 0.7, 10)
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 0.7, 10).collect()
+    got = {(frozenset(r.tokens), r.bad): r.confidence for r in mined}
+    assert len(got) == len(mined)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert any(bad and c < 0.7 for (_, bad), c in got.items()) and any(not bad for _, bad in got)
+
+
+def test_url_labels_decide(spark, sf):
+    """Labels that follow the URLs decide verdicts of the query's own pages."""
+    pages = read(spark, sf, "pages").select("page_id", "url").withColumn("token", F.lit("clash"))
+    pages = pages.unionByName(spark.createDataFrame([(None, None, "x"), (None, "http://a.win/x", "y")], pages.schema))
+    rows = [(f"http://{h}.win/{i}", True) for i, h in enumerate(["a", "b", "c"] * 20)] + [(f"http://{h}.example/{i}", False) for i, h in enumerate(["a", "b", "c"] * 40)]
+    got = urls.filter_urls(pages, spark.createDataFrame(rows, "url string, bad boolean"), []).collect()
+    assert len(got) == pages.count()
+    assert {(r.verdict, r.decided_by) for r in got if r.host == "a.win"} == {("block", "mined")}
+    assert {r.decided_by for r in got if r.host == ""} == {"default"}
+
+
 # 2 Substring dedup -----------------------------------------------------------------------------
 
 
