@@ -1,8 +1,9 @@
 """Chat formatting: tool-call linking, with DataFrame functions only.
 
 Calls and results are joined by (conversation, identifier).  Messages are then put in
-topological order: every message has a place (turn, depth), its own turn at depth 0 unless
-something it depends on comes later; then it moves right behind that.  Arguments are checked
+topological order: every message has a place (turn, depth).  The turn is its own unless
+something it depends on comes later, then it moves there; the depth is 0 for a call that waits
+for nothing, one more for each result and each call on the longest way to a message.  Arguments are checked
 against a schema, and every message becomes one line of canonical JSON: keys sorted by code
 point, no white space.
 
@@ -10,7 +11,7 @@ A message of role ``assistant`` may be JSON ``{"tool_calls": [{"id", "name", "ar
 "after"}]}`` and one of role ``tool`` JSON ``{"tool_call_id", "content"}``; ``after`` lists
 identifiers whose results a call needs.  In plain conversations a user's turn is read as the
 call ``ask`` with the arguments ``text`` and ``turn``, and the assistant's turn right after it
-as its result.
+as its result; it waits for the result right before it.
 
 Defined results: null texts are null arguments or contents.  Null roles and roles that are
 none of these are notes.  A result without its call is an orphan and a call without a result is
@@ -32,7 +33,8 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {"ask": {"text": ("STRING", Tr
 
 
 def plain_events(messages: DataFrame) -> DataFrame:
-    """Events of plain conversations (conv_id, turn, role, text)."""
+    """Events of plain conversations (conv_id, turn, role, text).  A call waits for the result right
+    before it, which is that of the call two turns back."""
     turn = F.col("turn").cast("long")
     ident = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
     call, result = F.col("role").eqNullSafe("user"), F.col("role").eqNullSafe("assistant")
@@ -43,15 +45,29 @@ def plain_events(messages: DataFrame) -> DataFrame:
         F.when(call, "call").when(result, "result").otherwise("note").alias("kind"),
         F.when(whole & call, ident(turn)).when(whole & result, ident(turn - 1)).alias("call_id"),
         F.when(call, "ask").alias("name"), F.when(call, arguments).alias("arguments"),
-        F.when(~call, F.col("text").cast("string")).alias("content"), F.array().cast("array<string>").alias("after"),
+        F.when(~call, F.col("text").cast("string")).alias("content"),
+        F.when(whole & call, F.array(ident(turn - 2))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
 
 
+_CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
+_REPLY = "struct<tool_call_id:string,content:string>"
+
+
+def events(messages: DataFrame) -> DataFrame:
+    """Events of any conversations: messages that are tool calls or results in JSON are read as such,
+    all others as plain turns."""
+    json = F.ltrim(F.col("text").cast("string")).startswith("{")
+    calls = (F.col("role") == "assistant") & F.from_json(F.col("text").cast("string"), _CALLS)["tool_calls"].isNotNull()
+    reply = (F.col("role") == "tool") & F.from_json(F.col("text").cast("string"), _REPLY)["tool_call_id"].isNotNull()
+    tools = F.coalesce(json & (calls | reply), F.lit(False))
+    return plain_events(messages.where(~tools)).unionByName(tool_events(messages.where(tools)))
+
+
 def tool_events(messages: DataFrame) -> DataFrame:
     """Events of conversations whose texts hold tool calls and results as JSON; an assistant
     message with several calls gives one event for each."""
-    calls = F.from_json("text", "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>").alias("c")
-    reply = F.from_json("text", "struct<tool_call_id:string,content:string>").alias("r")
+    calls, reply = F.from_json("text", _CALLS), F.from_json("text", _REPLY)
     parsed = messages.select("conv_id", "turn", "role", "text", F.when(F.col("role") == "assistant", calls).alias("c"), F.when(F.col("role") == "tool", reply).alias("r"))
     one = parsed.withColumn("x", F.explode_outer("c.tool_calls"))
     call, result = F.col("x").isNotNull(), F.col("r.tool_call_id").isNotNull()
@@ -81,40 +97,76 @@ def _valid(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
 def _ordered(events: DataFrame, scratch: Scratch) -> DataFrame:
     """events with order_turn, order_depth and cyclic.
 
-    Only calls that wait for a later result move.  Their places are raised round by round to
-    just behind what they wait for, until nothing changes.
+    A call that waits for nothing has depth 0, a result one more than its call, and a call that
+    waits one more than the deepest result that it needs.  Its turn is the latest of its own and
+    those of all that it waits for.
     """
-    waits = events.where("kind = 'call' and size(after) > 0 and conv_id is not null and turn is not null")
-    waits = waits.select("conv_id", "call_id", "turn", F.explode("after").alias("need"))
-    results = events.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("ready"))
-    needs = waits.join(results.withColumnRenamed("call_id", "need"), ["conv_id", "need"])
-    needs = scratch.save(needs.select("conv_id", "call_id", "turn", "need", "ready").distinct(), "needs")
+    keys = ["conv_id", "call_id"]
+    plain = {"order_turn": F.col("turn"), "order_depth": F.when(F.col("kind") == "result", 1).otherwise(0).cast("long"), "cyclic": F.lit(False)}
+    named = events.where("call_id is not null and conv_id is not null and turn is not null")
+    calls = named.where("kind = 'call'")
+    waits = calls.where("size(after) > 0").select(*keys, "turn", F.explode("after").alias("need")).where("need is not null")
+    results = named.where("kind = 'result'").groupBy(*keys).agg(F.min("turn").alias("ready"))
+    firsts = calls.groupBy(*keys).agg(F.min("turn").alias("asked"))
+    needs = waits.join(results.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).join(firsts.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
+    needs = needs.groupBy(*keys, "need").agg(F.max(F.greatest("turn", "ready", "asked")).alias("t"))
+    needs = scratch.save(needs, "needs")
     if needs.isEmpty():
-        return events.withColumns({"order_turn": F.col("turn"), "order_depth": F.when(F.col("kind") == "result", 1).otherwise(0).cast("long"), "cyclic": F.lit(False)})
-    # a call's place (t, d); its results stand at (t, d + 1) or at their own turn, whichever is later
-    place = scratch.save(needs.groupBy("conv_id", "call_id").agg(F.struct(F.min("turn").alias("t"), F.lit(0).cast("long").alias("d")).alias("p")), "place0")
-    limit = needs.groupBy("conv_id").agg(F.countDistinct("call_id").alias("limit"))
-    step = 0
+        return events.withColumns(plain)
+    several = needs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    places = _by_rounds(needs, scratch) if not several.isEmpty() else _by_doubling(needs, scratch)
+    out = events.join(places, keys, "left")
+    moved = F.coalesce(F.col("d").isNotNull(), F.lit(False)) & F.col("kind").isin("call", "result") & F.col("turn").isNotNull()
+    deep = F.when(F.col("kind") == "result", F.col("d") + 1).otherwise(F.col("d"))
+    out = out.withColumns({"order_turn": F.when(moved, F.greatest("turn", "t")).otherwise(plain["order_turn"]), "order_depth": F.when(moved, deep).otherwise(plain["order_depth"])})
+    return out.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).drop("t", "d")
+
+
+def _by_doubling(needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, t, d, cyclic) where each call waits for one other: chains, whose places are
+    summed over twice the distance in every round, so a chain of n takes log n of them."""
+    keys = ["conv_id", "call_id"]
+    waiting = needs.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("more"))
+    state = needs.join(waiting, ["conv_id", "need"], "left")
+    state = scratch.save(state.select(*keys, F.when(F.col("more"), F.col("need")).alias("next"), F.col("t"), F.lit(2).cast("long").alias("d")), "chain0")
+    rounds = int(state.groupBy("conv_id").count().agg(F.max("count")).first()[0]).bit_length() + 1
+    for k in range(1, rounds + 1):
+        if state.where("next is not null").isEmpty():
+            break
+        far = state.select("conv_id", F.col("call_id").alias("next"), F.col("next").alias("_next"), F.col("t").alias("_t"), F.col("d").alias("_d"))
+        step = state.join(far, ["conv_id", "next"], "left")
+        step = step.select(*keys, F.col("_next").alias("next"), F.greatest("t", "_t").alias("t"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"))
+        state = scratch.save(step, f"chain{k}")
+        scratch.drop(f"chain{k - 1}")
+    # who still has somebody in front waits for itself
+    cyclic = F.col("next").isNotNull()
+    return state.select(*keys, F.when(~cyclic, F.col("t")).alias("t"), F.when(~cyclic, F.col("d")).alias("d"), cyclic.alias("cyclic"))
+
+
+def _by_rounds(needs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same where calls wait for several others: each round settles those whose needs are
+    settled, as many rounds as the longest chain has calls."""
+    keys = ["conv_id", "call_id"]
+    waiting = needs.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("more")).distinct()
+    needs = scratch.save(needs.join(waiting, ["conv_id", "need"], "left"), "edges")
+    settled, k = None, 0
     while True:
-        other = place.select("conv_id", F.col("call_id").alias("need"), F.col("p").alias("q"))
-        behind = F.when(F.col("q").isNull(), F.struct(F.col("ready").alias("t"), F.lit(2).cast("long").alias("d"))).otherwise(
-            F.greatest(F.struct(F.col("ready").alias("t"), F.lit(2).cast("long").alias("d")), F.struct(F.col("q.t").alias("t"), (F.col("q.d") + 2).alias("d")))
-        )
-        raised = needs.join(other, ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(F.max(behind).alias("b"), F.min("turn").alias("turn"))
-        own = F.struct(F.col("turn").alias("t"), F.lit(0).cast("long").alias("d"))
-        now = raised.join(limit, "conv_id").select("conv_id", "call_id", F.greatest(own, "b").alias("p"), (F.greatest(own, "b")["d"] > 2 * F.col("limit")).alias("cyclic"), F.col("turn"))
-        step += 1
-        now = scratch.save(now, f"place{step}")
-        moved = now.join(place.select("conv_id", "call_id", F.col("p").alias("was")), ["conv_id", "call_id"])
-        if moved.where("p <> was and not cyclic").isEmpty():
+        left = needs if settled is None else needs.join(settled, keys, "left_anti")
+        if settled is None:
+            left = left.withColumns({"_t": F.lit(None).cast("long"), "_d": F.lit(None).cast("long")})
+        else:
+            left = left.join(settled.select("conv_id", F.col("call_id").alias("need"), F.col("t").alias("_t"), F.col("d").alias("_d")), ["conv_id", "need"], "left")
+        free = F.col("more").isNull() | F.col("_d").isNotNull()
+        ready = left.groupBy(*keys).agg(F.min(free).alias("free"), F.max(F.greatest("t", "_t")).alias("t"), F.max(F.coalesce("_d", F.lit(0)) + 2).cast("long").alias("d"))
+        fresh = scratch.save(ready.where("free").select(*keys, "t", "d"), f"round{k}")
+        if fresh.isEmpty():
             break
-        place = now.select("conv_id", "call_id", "p")
-    moved = now.select("conv_id", "call_id", F.when(~F.col("cyclic"), F.col("p")).alias("p"), "cyclic")
-    out = events.join(moved, ["conv_id", "call_id"], "left")
-    own = F.struct(F.col("turn").alias("t"), F.when(F.col("kind") == "result", 1).otherwise(0).cast("long").alias("d"))
-    shift = F.when(F.col("kind") == "result", F.struct(F.col("p.t").alias("t"), (F.col("p.d") + 1).alias("d"))).when(F.col("kind") == "call", F.col("p"))
-    out = out.withColumn("at", F.when(F.col("p").isNull(), own).otherwise(F.greatest(own, shift)))
-    return out.withColumns({"order_turn": F.col("at.t"), "order_depth": F.col("at.d"), "cyclic": F.coalesce("cyclic", F.lit(False))}).drop("p", "at")
+        settled = fresh if settled is None else scratch.save(settled.unionByName(fresh), f"settled{k}")
+        k += 1
+    every = needs.select(*keys).distinct()
+    if settled is None:
+        return every.select(*keys, F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("d"), F.lit(True).alias("cyclic"))
+    return every.join(settled, keys, "left").withColumn("cyclic", F.col("d").isNull())
 
 
 def link(events: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:

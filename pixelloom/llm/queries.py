@@ -62,7 +62,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(chat.plain_events(_table(spark, sf_dir, "conversations")))
+    return chat.link(chat.events(_table(spark, sf_dir, "conversations")))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +160,25 @@ FROM documents d JOIN classes k ON k.id = d.doc_id
 LEFT JOIN copies c ON c.doc_id = d.doc_id LEFT JOIN degrees g ON g.a = d.doc_id
 """
 
+#: A user's turn waits for the assistant's before it, which answers the user's turn before that.
 OP6_SQL = r"""
-WITH turns AS (
+WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role, text, conv_id || '-' || turn AS own, conv_id || '-' || (turn - 1) AS before FROM conversations
 ), linked AS (
   SELECT t.*, r.turn AS answer, c.turn AS asked
   FROM turns t
   LEFT JOIN turns r ON t.role = 'user' AND r.role = 'assistant' AND r.conv_id = t.conv_id AND r.turn = t.turn + 1
   LEFT JOIN turns c ON t.role = 'assistant' AND c.role = 'user' AND c.conv_id = t.conv_id AND c.turn = t.turn - 1
+), waits AS (
+  SELECT u.conv_id, u.turn, q.turn AS earlier FROM conversations u
+  JOIN conversations r ON u.role = 'user' AND r.role = 'assistant' AND r.conv_id = u.conv_id AND r.turn = u.turn - 1
+  LEFT JOIN conversations q ON q.role = 'user' AND q.conv_id = u.conv_id AND q.turn = u.turn - 2
+), deep AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS d FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM waits w WHERE w.conv_id = c.conv_id AND w.turn = c.turn)
+  UNION
+  SELECT conv_id, turn, CAST(2 AS BIGINT) FROM waits WHERE earlier IS NULL
+  UNION
+  SELECT w.conv_id, w.turn, p.d + 2 FROM deep p JOIN waits w ON w.conv_id = p.conv_id AND w.earlier = p.turn
 ), named AS (
   SELECT *, CASE role WHEN 'user' THEN own WHEN 'assistant' THEN before END AS call_id,
          CASE role WHEN 'user' THEN answer WHEN 'assistant' THEN asked END AS linked_turn,
@@ -177,7 +188,8 @@ WITH turns AS (
   FROM linked
 )
 SELECT conv_id, turn, role, call_id, status, linked_turn, turn AS order_turn,
-       CAST(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS order_depth,
+       CASE role WHEN 'user' THEN (SELECT max(d) FROM deep p WHERE p.conv_id = named.conv_id AND p.turn = named.turn)
+                 WHEN 'assistant' THEN 1 + coalesce((SELECT max(d) FROM deep p WHERE p.conv_id = named.conv_id AND p.turn = named.turn - 1), 0) ELSE 0 END AS order_depth,
        CASE WHEN role = 'user' THEN text IS NOT NULL END AS valid,
        CASE WHEN role = 'user' THEN
          '{"arguments":{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"ask","role":"user","status":"' || status || '"}'

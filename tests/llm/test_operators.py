@@ -426,6 +426,46 @@ def test_plain_chat_awkward(spark):
     assert chat.link(chat.plain_events(df.limit(0))).count() == 0
 
 
+def test_chat_places_by_brute_force(spark):
+    """Random graphs of calls against a plain longest path."""
+    rng = np.random.default_rng(12)
+    for most in (1, 3):
+        rows, want = [], {}
+        for conv in range(6):
+            n = 12
+            after = {i: sorted({int(x) for x in rng.integers(0, n, int(rng.integers(0, most + 1)))} - {i}) for i in range(n)}
+            turn = {i: int(t) for i, t in enumerate(rng.permutation(n))}
+            answered = {i: 20 + int(t) if rng.random() < 0.8 else None for i, t in enumerate(rng.permutation(n))}
+            for i in range(n):
+                rows.append((conv, turn[i], "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "ask", "arguments": "{}", "after": [f"c{j}" for j in after[i]]}]})))
+                if answered[i] is not None:
+                    rows.append((conv, answered[i], "tool", json.dumps({"tool_call_id": f"c{i}", "content": "x"})))
+            needs = {i: [j for j in after[i] if answered[j] is not None] for i in range(n)}
+
+            def place(i, path=()):
+                if i in path:
+                    return None
+                got = [(place(j, (*path, i)), j) for j in needs[i]]
+                if any(p is None for p, _ in got):
+                    return None
+                return max([turn[i], *(max(p[0], answered[j]) for p, j in got)]), max([0, *(p[1] + 2 for p, _ in got)])
+
+            want |= {(conv, f"c{i}"): place(i) for i in range(n)}
+        got = chat.link(chat.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).where("role = 'assistant'").collect()
+        for r in got:
+            p = want[r.conv_id, r.call_id]
+            assert (r.order_turn, r.order_depth) == (p or (r.turn, 0)) and (p is not None or r.valid is False)
+        assert len(got) == len(want)
+
+
+def test_chat_mixes_plain_turns_and_tools(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(40)]
+    rows += [(1, 40, "assistant", json.dumps({"tool_calls": [{"id": "x", "name": "get", "arguments": "{}", "after": []}]})), (1, 41, "tool", json.dumps({"tool_call_id": "x", "content": "r"})), (1, 42, "tool", "{broken"), (1, 43, "assistant", "{}")]
+    got = {r.turn: r for r in chat.link(chat.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert len(got) == 44 and [got[k].order_depth for k in range(40)] == list(range(40))
+    assert got[40].status == got[41].status == "linked" and got[42].status == "note" and got[43].status == "orphan"
+
+
 # 7 Embeddings ------------------------------------------------------------------------------------
 
 
