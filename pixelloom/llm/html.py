@@ -3,9 +3,12 @@
 Markup is stripped into lines, one for each block of text, in page order.  A line's length
 is its number of characters, or 0 if it is page furniture: inside elements that are never
 article text (menus, forms, scripts, ...), inside elements whose class or id says so, or in a
-list of links.  Over windows of BLOCK lines the lengths are summed.  A region starts where the
-sums surge above nothing and ends where they dive to nothing.  Without a hint every region is
-kept, however short: an article may be divided by adverts into parts of any size.
+list of links.  A name is void where next to nothing would be left of the page without the
+element.  Over windows of BLOCK lines the lengths are summed.  A region starts where the sums
+surge above nothing and ends where they dive to nothing.  Without a hint regions are kept,
+however short: an article may be divided by adverts into parts of any size.  But where BLOCK
+lines or more are in a plain container of their own and all windows there stay under the page's
+mean (or SURGE, if that is less), they are furniture that no name tells.
 
 A line that is mostly links is in a list of links if the smallest element that holds it and
 another line is mostly links too, or if a window holds nothing but such lines of that element.
@@ -24,9 +27,11 @@ rows and null urls need no care.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +56,9 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
+PLAIN = frozenset("div section span center font".split())
+#: Before the name of furniture, these say what a page has or lacks.
+STATES = frozenset("with no has without have not is hide show".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline-ad comment comments "
     "consent cookie cookies copyright disclaimer disqus feedback footer form gdpr header login masthead menu modal nav navbar "
@@ -70,47 +78,70 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _is_furniture(name: str, attrs: str) -> bool:
+def _by_tag(name: str, attrs: str) -> bool:
+    """Whether an element is page furniture by definition: its tag or its role says so."""
     if name in NEVER:
         return True
+    if name in ("html", "body", "article", "main") or "role" not in attrs.lower():
+        return False
+    return any(key.lower() == "role" and next((v for v in values if v), "").lower().strip() in ROLES for key, *values in _NAMED.findall(attrs))
+
+
+def _by_name(name: str, attrs: str) -> bool:
+    """Whether an element's class or id names page furniture.  ``with-sidebar`` and the like say what
+    else the page has, not what the element is."""
     if name in ("html", "body", "article", "main") or "=" not in attrs:
         return False
     for key, *values in _NAMED.findall(attrs):
-        value = next((v for v in values if v), "").lower()
         if key.lower() == "role":
-            if value.strip() in ROLES:
+            continue
+        for word in next((v for v in values if v), "").lower().split():
+            parts = [p for p in _SPLIT.split(word) if p]
+            if word in FURNITURE or any(p in FURNITURE and not (k and parts[k - 1] in STATES) for k, p in enumerate(parts)):
                 return True
-        elif any(part in FURNITURE for word in value.split() for part in (word, *_SPLIT.split(word))):
-            return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]:
-    """(text, link characters, furniture, in an article, element) of every non-empty line; parents of elements."""
+@dataclass
+class Page:
+    """Lines (text, link characters, furniture by tag, in an article, element), parents and names of
+    elements, and the elements that are furniture by name.  Element 0 is the page."""
+
+    lines: list[tuple[str, int, bool, bool, int]]
+    parents: list[int]
+    names: list[str]
+    named: set[int]
+
+
+def lines(page: str) -> Page:
+    """Every non-empty line; the time grows with the page's length, however deep it is nested."""
     out: list[tuple[str, int, bool, bool, int]] = []
-    parents = [0]  # element 0 is the page; parents come before their children
+    parents, names = [0], [""]  # parents come before their children
+    named: set[int] = set()
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, furniture, article, link, element
-    bad, inside, link = False, False, False
+    stack: list[tuple[str, tuple[bool, bool, bool], int]] = []  # name, (furniture, article, link), element
+    count = [0, 0, 0]  # of open furniture, articles and links
+    opened: dict[str, int] = {}  # of open elements by name
 
     def flush() -> None:
         nonlocal linked, parts
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, bad, inside, stack[-1][4] if stack else 0))
+            out.append((text, linked, count[0] > 0, count[1] > 0, stack[-1][2] if stack else 0))
         parts, linked = [], 0
 
-    def settle() -> None:
-        nonlocal bad, inside, link
-        bad = any(s[1] for s in stack)
-        inside = any(s[2] for s in stack)
-        link = any(s[3] for s in stack)
+    def pop() -> str:
+        name, kinds, _ = stack.pop()
+        for k in range(3):
+            count[k] -= kinds[k]
+        opened[name] -= 1
+        return name
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if link:
+        if count[2]:
             linked += len(text)
 
     at, n = 0, len(page)
@@ -131,10 +162,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
         if found.group("close"):
             if name in BLOCKS:
                 flush()
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if opened.get(name):
+                while pop() != name:
                     pass
-                settle()
             continue
         if name == "br":
             add(" ")
@@ -151,13 +181,65 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, int]], list[int]]
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # a new one ends an open one
             closes = ("p",) if name == "p" else (name, "p")
             while stack and stack[-1][0] in closes:
-                stack.pop()
-        furniture = _is_furniture(name, attrs) or name in EDGES and not inside
-        parents.append(stack[-1][4] if stack else 0)
-        stack.append((name, furniture, name in ("article", "main") or "articlebody" in attrs.lower(), name == "a", len(parents) - 1))
-        settle()
+                pop()
+        article = name in ("article", "main") or "articlebody" in attrs.lower()
+        kinds = (_by_tag(name, attrs) or name in EDGES and not count[1], article, name == "a")
+        parents.append(stack[-1][2] if stack else 0)
+        names.append(name)
+        if _by_name(name, attrs):
+            named.add(len(parents) - 1)
+        stack.append((name, kinds, len(parents) - 1))
+        opened[name] = opened.get(name, 0) + 1
+        for k in range(3):
+            count[k] += kinds[k]
     flush()
-    return out, parents
+    return Page(out, parents, names, named)
+
+
+def _inherited(parents: list[int], marked: set[int]) -> list[bool]:
+    """Of every element, whether it or one that holds it is marked."""
+    out = [0 in marked] * len(parents)
+    for e in range(1, len(parents)):
+        out[e] = e in marked or out[parents[e]]
+    return out
+
+
+def _furniture(page: Page) -> list[bool]:
+    """Whether each line is furniture.  A name is void where next to nothing (less than SURGE, and a
+    tenth of what it holds) would be left of the page, and no article: then it is a wrapper's."""
+    if not page.named:
+        return [line[2] for line in page.lines]
+    outer = [0] * len(page.parents)  # the nearest element with a name, itself included
+    for e in range(1, len(page.parents)):
+        outer[e] = e if e in page.named else outer[page.parents[e]]
+    own = dict.fromkeys(page.named, 0)  # text in no inner element with a name
+    rest, hinted = 0, False
+    for text, _, furniture, inside, e in page.lines:
+        if not furniture and outer[e]:
+            own[outer[e]] += len(text)
+        elif not furniture:
+            rest += len(text)
+            hinted |= inside
+    whole, inner = dict(own), {e: [] for e in page.named}
+    front = []
+    for e in sorted(page.named, reverse=True):
+        above = outer[page.parents[e]]
+        if above:
+            whole[above] += whole[e]
+            inner[above].append(e)
+        else:
+            front.append(e)
+    kept = set(page.named)
+    heap = [(-whole[e], e) for e in front]
+    heapq.heapify(heap)
+    while heap and not hinted and rest < SURGE and -heap[0][0] > 10 * rest:
+        _, e = heapq.heappop(heap)
+        kept.discard(e)
+        rest += own[e]
+        for x in inner[e]:
+            heapq.heappush(heap, (-whole[x], x))
+    below = _inherited(page.parents, kept)
+    return [furniture or below[e] for _, _, furniture, _, e in page.lines]
 
 
 def _regions(length: list[int]) -> list[tuple[int, int, int]]:
@@ -231,18 +313,49 @@ def _beside_hint(length: list[int], hint: list[int], element: list[int], parents
     return out
 
 
+def _flat(length: list[int], element: list[int], parents: list[int], names: list[str]) -> list[int]:
+    """Lengths of the lines that are kept on a page without a hint, the others 0.
+
+    The page's mean over its windows says what a surge is.  A plain container with BLOCK lines or
+    more of which none surges is a menu, a header or a sidebar that nothing else says is one.
+    """
+    sums = [sum(length[i : i + BLOCK]) for i in range(len(length))]
+    some = [x for x in sums if x]
+    if not some:
+        return length
+    surge = min(SURGE, sum(some) / len(some))
+    high = [False] * len(length)  # lines that make a window surge, with their share of it at least
+    for i, total in enumerate(sums):
+        if total >= surge:
+            for k in range(i, min(i + BLOCK, len(length))):
+                high[k] |= length[k] * BLOCK >= surge
+    count, surging = [0] * len(parents), [False] * len(parents)  # of an element: lines, whether one of them surges
+    for i, e in enumerate(element):
+        count[e] += length[i] > 0
+        surging[e] |= high[i] and length[i] > 0
+    for e in range(len(parents) - 1, 0, -1):
+        count[parents[e]] += count[e]
+        surging[parents[e]] |= surging[e]
+    low = {e for e in range(1, len(parents)) if names[e] in PLAIN and count[e] >= BLOCK and not surging[e]}
+    inside = _inherited(parents, low)
+    return [0 if inside[e] else n for n, e in zip(length, element, strict=True)]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, joined by one space."""
     if not page:
         return ""
-    found, parents = lines(page)
-    length = [0 if furniture or listed else len(text) for (text, _, furniture, _, _), listed in zip(found, _listed(found, parents), strict=True)]
-    hint = [len(text) if inside and not furniture else 0 for text, _, furniture, inside, _ in found]
+    read = lines(page)
+    found = [(text, linked, bad, inside, e) for (text, linked, _, inside, e), bad in zip(read.lines, _furniture(read), strict=True)]
+    parents, element = read.parents, [line[4] for line in found]
+    length = [0 if bad or listed else len(text) for (text, _, bad, _, _), listed in zip(found, _listed(found, parents), strict=True)]
+    hint = [len(text) if inside and not bad else 0 for text, _, bad, inside, _ in found]
     if any(hint):
         outside = [0 if inside else n for n, (_, _, _, inside, _) in zip(length, found, strict=True)]
-        beside = _beside_hint(outside, hint, [element for *_, element in found], parents)
+        beside = _beside_hint(outside, hint, element, parents)
         if beside is not None:
             return " ".join(line[0] for line, n, m in zip(found, hint, beside, strict=True) if n or m)
+    length = _flat(length, element, parents, read.names)
     return " ".join(found[i][0] for a, b, _ in _regions(length) for i in range(a, b) if length[i])
 
 

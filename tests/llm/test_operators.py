@@ -586,6 +586,36 @@ def test_html_divided_article():
     assert html.main_text(f"<p><a href=x>{d}</a></p>") == ""
 
 
+def test_html_blocks_decide_without_article(monkeypatch):
+    menu = "<div>" + "".join(f"<p>Item {i}</p>" for i in range(6)) + "</div>"  # no tag, no name, no link
+    story = "<div><h1>Head</h1>" + "".join(f"<p>Paragraph {i} of the story, which is long enough to surge in its window of lines.</p>" for i in range(5)) + "<p>a</p><p>b</p><p>c</p><p>d</p></div>"
+    want = " ".join(["Head", *(f"Paragraph {i} of the story, which is long enough to surge in its window of lines." for i in range(5)), "a b c d"])
+    assert html.main_text(menu + story) == html.main_text(story + menu) == want
+    with monkeypatch.context() as m:  # without the windows the menu is text
+        m.setattr(html, "_flat", lambda length, *_: length)
+        assert html.main_text(menu + story) != want
+    short = "<div>" + "".join(f"<p>line {i}</p>" for i in range(9)) + "</div>"  # a poem is no menu
+    assert html.main_text(short) == " ".join(f"line {i}" for i in range(9))
+
+
+def test_html_wrapper_names_are_void():
+    text = "The article of the page in its only container. " * 5
+    for name in ("content with-sidebar", "no-sidebar", "has-menu", "page-header", "layout-widget main-menu"):
+        for inner in (f"<p>{text}</p>", f"<article><p>{text}</p></article>", f'<div class="sidebar"><p>Other things</p></div><p>{text}</p>'):
+            assert html.main_text(f'<div class="{name}">{inner}</div><div class="footer">f</div>') == text.strip()
+    comments = '<div class="comments">' + "<p>I say no to all of that, and again no.</p>" * 30 + "</div>"
+    assert html.main_text(f"<div><p>{text}</p></div>{comments}") == text.strip()
+
+
+def test_html_deep_nesting_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 50_000 + "x", "<div class=ad>" * 50_000 + "x", "<b>" * 50_000 + "x" + "</b>" * 50_000, "</p><a>" * 50_000 + "x"):
+        began = time.process_time()
+        assert html.main_text(page) in ("x", "")
+        assert time.process_time() - began < 3
+
+
 def test_html_pages(spark, sf):
     import html as entities
 
