@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, text_buffers, text_chunks
+from .common import Scratch, in_arrow, text_buffers, text_chunks
 
 #: Bytes of a window.
 WINDOW = 128
@@ -179,24 +179,30 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, seed: int = 7) -> L
 
 def train(documents: DataFrame, where=None) -> LanguageModel:
     """Fit on documents (doc_id, text, lang): at most SAMPLE_TEXTS rows with a language and
-    a letter, those with the smallest hash of doc_id, and SAMPLE_WINDOWS places of each.
+    a letter, and SAMPLE_WINDOWS places of each.  Languages share them evenly, so that a rare one
+    is learned too; of a language the rows with the smallest hash of doc_id are taken.
 
     ``where`` keeps rows off the sample (a held-out fold).
     """
     rows = documents.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     if where is not None:
         rows = rows.where(where)
-    count = rows.count()
-    if not count:
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    langs = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    langs = Scratch(documents.sparkSession, "language").save(langs, "langs")
+    kinds = langs.count()
+    if not kinds:
         return fit([], [])
-    share = min(1.0, SAMPLE_TEXTS / count)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    quota = max(1, SAMPLE_TEXTS // kinds)
+    # the place of a row among 1 / share rows of its language, about
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.greatest(F.col("_n") / quota, F.lit(1.0))
+    rows = rows.join(langs, F.col("lang") == F.col("_lang")).withColumn("_place", place).where("_place < 1.25")
     far = F.floor((F.length("text") - 1) / WINDOW).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.least(far, F.lit(SAMPLE_WINDOWS - 1))), lambda k: F.floor(k * far / F.greatest(F.least(far, F.lit(SAMPLE_WINDOWS - 1)), F.lit(1))))
-    parts = rows.where(F.col("text").rlike(r"\p{L}")).select(
-        "doc_id", "lang", F.transform(places, lambda k: F.substring(F.col("text"), (k * WINDOW + 1).cast("int"), F.lit(WINDOW))).alias("parts")
+    parts = rows.select(
+        "_place", "doc_id", "lang", F.transform(places, lambda k: F.substring(F.col("text"), (k * WINDOW + 1).cast("int"), F.lit(WINDOW))).alias("parts")
     )
-    got = parts.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "lang", "parts").limit(SAMPLE_TEXTS).collect()
+    got = parts.orderBy("_place", "doc_id", "lang", "parts").limit(SAMPLE_TEXTS).collect()
     return fit([p for r in got for p in r.parts], [r.lang for r in got for _ in r.parts])
 
 
