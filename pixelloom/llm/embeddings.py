@@ -33,11 +33,10 @@ from .jaccard import about_classes, by_document
 
 THRESHOLD = 0.95
 RECALL = 0.99
-#: Vectors that codebooks and recall are fitted on, at most.
-SAMPLE = 8000
-#: Vectors of a cell, on average, and codewords of a half, at most.
+#: Vectors that codebooks and recall are fitted on: at least so many, and so many for a codeword.
+SAMPLE, PER_CODE = 8000, 16
+#: Vectors of a cell, on average.  The codewords of a half grow with the square root of the table.
 PER_CELL = 128
-MOST_CODES = 512
 #: Vectors of a block of a large cell.
 BLOCK = 4096
 
@@ -77,20 +76,25 @@ class MultiIndex:
 def _codebook(points: np.ndarray, codes: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     book = points[rng.choice(len(points), codes, replace=len(points) < codes)].copy()
     for _ in range(rounds):
-        near = ((book**2).sum(1)[None, :] - 2 * points @ book.T).argmin(1)
-        for k in range(codes):
-            own = near == k
-            if own.any():
-                book[k] = points[own].mean(0)
+        half = (book**2).sum(1)[None, :] / 2
+        near = np.concatenate([(half - points[at : at + 4096] @ book.T).argmin(1) for at in range(0, len(points), 4096)])
+        order = np.argsort(near, kind="stable")
+        used, first = np.unique(near[order], return_index=True)
+        book[used] = np.add.reduceat(points[order], first, axis=0) / np.diff(np.append(first, len(points)))[:, None]
     return book
 
 
+def code_count(count: int) -> int:
+    """Codewords of a half for a table of so many vectors."""
+    return max(4, round((count / PER_CELL) ** 0.5))
+
+
 def fit(unit: np.ndarray, count: int, threshold: float = THRESHOLD, recall: float = RECALL) -> MultiIndex:
     """Codebooks for about ``count`` vectors from a sample of unit vectors, and the visits that
     reach the recall for partners at the threshold."""
     rng = np.random.default_rng(99)
     half = unit.shape[1] // 2
-    codes = int(min(max(4, round((count / PER_CELL) ** 0.5)), MOST_CODES, max(1, len(unit))))
+    codes = min(code_count(count), max(1, len(unit)))
     books = (_codebook(unit[:, :half], codes, rng), _codebook(unit[:, half:], codes, rng))
     index = MultiIndex(books, 1)
     probe = unit[rng.choice(len(unit), min(len(unit), 1500), replace=False)]
@@ -103,7 +107,7 @@ def fit(unit: np.ndarray, count: int, threshold: float = THRESHOLD, recall: floa
         one, two = index.distances(x)
         cell = index.home(y)
         mine = one[np.arange(len(x)), cell // codes] + two[np.arange(len(x)), cell % codes]
-        return np.array([(one[i][:, None] + two[i][None, :] < mine[i]).sum() for i in range(len(x))])
+        return np.array([np.searchsorted(np.sort(b), m - a, "left").sum() for a, b, m in zip(one, two, mine, strict=True)])
 
     least = np.minimum(rank(probe, other), rank(other, probe)) + 1
     return MultiIndex(books, int(np.quantile(least, recall, method="higher")))
@@ -218,11 +222,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     index, width = None, 0
     if lengths is not None and lengths["width"] >= 2:
         width = lengths["width"]
-        share = min(1.0, SAMPLE / lengths["count"])
+        size = max(SAMPLE, PER_CODE * code_count(lengths["count"]))
+        share = min(1.0, size / lengths["count"])
         near = reps.where(F.size("vector") == width).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        sample = near.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("vector").toArrow()
+        sample = near.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(size).select("vector").toArrow()
         index = fit(unit_vectors(sample.column(0).combine_chunks(), width), lengths["count"], threshold, recall)
-    held = spark.sparkContext.broadcast((index, width))  # at most 2 x MOST_CODES codewords
+    held = spark.sparkContext.broadcast((index, width))  # two codebooks, whose codewords are as many as the square root of the vectors over PER_CELL
     filed = in_arrow(reps, _file(held), "cell long, id long, copies long, home long, filed boolean, visits array<long>, vector array<double>")
     filed = scratch.save(filed, "filed")
     blocks = filed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
