@@ -9,18 +9,24 @@ bit-parallel algorithm decides whether the item occurs with at most k edits.
 The items are the stated query set: they go through the documents in blocks of bounded
 size, so a benchmark of any size uses bounded memory.  Documents are only read.
 
+An item too short for any edit must stand between characters that are no letters or digits, or
+at an end of the text: ``hello`` is not in ``othello``.
+
 Defined results: null and empty texts contain nothing; null or blank items are ignored;
-equal items all match.  Repeated rows are judged alike.  Extra columns are ignored.
+an item with a null id is one like any other and its id in the result is null; equal items all
+match.  Repeated rows are judged alike.  Empty tables match nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import Scratch, in_arrow
 
@@ -109,6 +115,10 @@ class Matcher:
         for item, begins in spans.items():
             item_id, pattern, errors, bits = self.items[item]
             best, m = errors + 1, len(pattern)
+            if not errors:
+                if any(_alone(text, b, b + m) for b in begins):
+                    out.append((item_id, 0))
+                continue
             begins.sort()
             at = 0
             while at < len(begins) and best:
@@ -121,12 +131,21 @@ class Matcher:
                 best = 0 if exact else min(best, myers(bits, m, region, errors))
             if best <= errors:
                 out.append((item_id, best))
-        return sorted(out)
+        return sorted(out, key=_by_id)
+
+
+def _by_id(found: tuple[int | None, int]) -> tuple:
+    return found[0] is None, found
+
+
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on at either end of a stretch."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         block.append((row.item_id, row.text))
         chars += len(row.text)
         if chars >= BLOCK_CHARS:
@@ -136,34 +155,49 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _matched(rows: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
-    """rows (text and others) with _item_ids and _edits."""
-    spark, columns = rows.sparkSession, [*rows.columns, "_item_ids", "_edits"]
-    none = F.array().cast("array<long>")
-    out = rows.select("*", none.alias("_item_ids"), none.alias("_edits"))
-    schema, scratch = out.schema, None
+def _search(rows: DataFrame, block: list, rate: float) -> DataFrame:
+    """rows (text and others) with __item_ids and __edits of one block of items."""
+    columns = rows.columns
+    held = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_CHARS and one item
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(held.value, rate)
+        for batch in batches:
+            found = [matcher.match(text.as_py()) for text in batch.column("text")]
+            ids, edits = (pa.array([[f[k] for f in one] for one in found], pa.list_(pa.int64())) for k in (0, 1))
+            yield pa.record_batch([*batch.columns, ids, edits], [*columns, "__item_ids", "__edits"])
 
-    def passed(rows: DataFrame, block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS and one item
+    schema = rows.schema
+    for c in ("__item_ids", "__edits"):
+        schema = StructType([*schema.fields, StructField(c, ArrayType(LongType()))])
+    return in_arrow(rows, run, schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
-            for batch in batches:
-                found = []
-                for text, ids, edits in zip(*(batch.column(c) for c in ("text", "_item_ids", "_edits")), strict=True):
-                    found.append(sorted([*zip(ids.as_py(), edits.as_py(), strict=True), *matcher.match(text.as_py())]))
-                ids = pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64()))
-                edits = pa.array([[e for _, e in f] for f in found], pa.list_(pa.int64()))
-                yield pa.record_batch([*batch.columns[:-2], ids, edits], columns)
 
-        return in_arrow(rows, run, schema)
+def _matched(rows: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """rows (doc_id, text and others) with __item_ids and __edits.
 
-    for k, block in enumerate(_blocks(benchmark)):
-        if k:  # one block's automaton is in memory at a time
-            scratch = scratch or Scratch(spark, "decontaminate")
-            out = scratch.save(out, f"pass{k}")
-        out = passed(out, block)
-    return out
+    One block of items is one pass over the rows.  Of several blocks each is a pass of its own with
+    one automaton in memory, which writes only what it finds; rows get that back by id and text.
+    """
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _search(rows, first, rate)
+    scratch = Scratch(rows.sparkSession, "decontaminate")
+    keyed = rows.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__print"), "text")
+    hits = None
+    for k, block in enumerate(chain([first, second], blocks)):
+        part = _search(keyed, block, rate).where(F.size("__item_ids") > 0).select("__doc", "__print", F.arrays_zip("__item_ids", "__edits").alias("__hits")).distinct()
+        part = scratch.save(part, f"pass{k}")
+        hits = part if hits is None else hits.unionByName(part)
+    order = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(a["e"] - b["e"]).cast("int")
+    every = F.transform(F.flatten(F.collect_list("__hits")), lambda h: F.struct(h["__item_ids"].isNull().alias("n"), h["__item_ids"].alias("i"), h["__edits"].alias("e")))
+    hits = hits.groupBy("__doc", "__print").agg(F.array_sort(every, order).alias("__hits"))
+    hits = scratch.save(hits, "hits")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__print"))
+    none = F.array().cast("array<long>")
+    out = rows.join(hits, same, "left")
+    return out.select(*rows.columns, F.coalesce("__hits.i", none).alias("__item_ids"), F.coalesce("__hits.e", none).alias("__edits"))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
@@ -171,9 +205,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     edits[i] is the least number of edits of item_ids[i] in the text."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = _matched(rows, benchmark, rate)
-    return found.select("doc_id", (F.size("_item_ids") > 0).alias("contaminated"), F.col("_item_ids").alias("item_ids"), F.col("_edits").alias("edits"))
+    return found.select("doc_id", (F.size("__item_ids") > 0).alias("contaminated"), F.col("__item_ids").alias("item_ids"), F.col("__edits").alias("edits"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of documents (text and others) in which no item occurs, unchanged."""
-    return _matched(documents, benchmark, rate).where(F.size("_item_ids") == 0).select(documents.columns)
+    return _matched(documents, benchmark, rate).where(F.size("__item_ids") == 0).select(documents.columns)
