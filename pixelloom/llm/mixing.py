@@ -9,7 +9,8 @@ the last two or fewer of a source are landed by the choice nearest to the token
 
 Defined results: null or empty texts have size 0 and are taken as any other document
 (``taken`` is 0).  A null source is a source of its own and the last one.  Repeated rows
-are documents of their own.  An empty table gives an empty result.  Extra columns are
+are documents of their own, kept together as one row with a number until the end, so any number
+of them is no burden.  An empty table gives an empty result.  Extra columns are
 ignored.  The same rows give the same result at any partitioning.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, in_arrow, text_chunks
@@ -51,27 +52,46 @@ def sizes(documents: DataFrame) -> DataFrame:
     return in_arrow(rows, run, "doc_id long, source string, size long")
 
 
-def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """rows with the sums of columns over all rows before each, in order: ``sums`` has a column's
+    name for each new one.  Rows are dealt out by ranges of the order, so no task gets them all;
+    the driver gets a sum for each range."""
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.save(rows.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()), name)
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = {new: 0.0 if ranged.schema[c].dataType.simpleString() == "double" else 0 for new, c in sums.items()}
+    before = []
+    for r in ranged.groupBy("_range").agg(*[F.sum(c).alias(new) for new, c in sums.items()]).orderBy("_range").collect():
+        before.append((r["_range"], *total.values()))
+        total = {new: total[new] + r[new] for new in sums}
+    kinds = ", ".join(f"_{new} {ranged.schema[c].dataType.simpleString()}" for new, c in sums.items())
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, f"_range int, {kinds}"))  # a row for each range
+    zero = {new: F.lit(0).cast(ranged.schema[c].dataType) for new, c in sums.items()}
+    out = ranged.join(offsets, "_range").withColumns({new: F.col(f"_{new}") + F.coalesce(F.sum(c).over(own), zero[new]) for new, c in sums.items()})
+    return out.drop("_range", *[f"_{new}" for new in sums])
+
+
+def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, scratch: Scratch | None = None) -> DataFrame:
     """Targets of sources given as (source, source_size, n_docs): one row for each source.
 
     Weighted water filling: sources are capped in order of ``most * size / weight`` as long
     as the level that the others would reach is above that ratio.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
-    ranked = totals.withColumn("rank", F.row_number().over(order) - 1)
+    scratch = scratch or Scratch(totals.sparkSession, "targets")
+    one = totals.withColumn("one", F.lit(1).cast("long"))  # one row a source
+    ranked = _running(one, [F.col("source").asc_nulls_last()], {"rank": "one"}, scratch, "ranges").drop("one")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    ranked = ranked.withColumn("level", level)
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(whole)
-    return ranked.withColumn("final", first["level"]).select(
-        "source", "rank", "source_size", "n_docs", "weight",
-        F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"),
+    ranked = scratch.save(ranked.withColumn("ratio", F.col("cap") / F.col("weight")), "ranked")
+    size, heavy = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = F.lit(0.0)
+    if size is not None:
+        filled = _running(ranked, [F.col("ratio"), F.col("rank")], {"caps": "cap", "weights": "weight"}, scratch, "filled")
+        rest = (F.lit(float(size) * float(share)) - F.col("caps")) / (F.lit(float(heavy)) - F.col("weights"))
+        first = filled.withColumn("level", rest).where("level <= ratio").agg(F.min(F.struct("ratio", "rank", "level"))).first()[0]
+        level = F.lit(float("inf")) if first is None else F.lit(first["level"])
+    return ranked.select(
+        "source", "rank", "source_size", "n_docs", "weight", F.least(F.col("cap"), level * F.col("weight")).alias("target"),
     )
 
 
@@ -132,23 +152,39 @@ def _flight(last: bool):
     return run
 
 
-_KIND = "doc_id long, source string, rank int, size long, source_size long, target double, base int, x double, block long"
+_KIND = "doc_id long, source string, rank long, size long, source_size long, target double, rows long, base int, ones long, x double, block long"
+#: Equal rows that one task writes out.
+RUN = 1_000_000
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Groups of equal rows (rows, ...) written out as rows with their number k; very large groups
+    in runs that are dealt out first."""
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN)))
+    large = rows.where(F.col("rows") > RUN).withColumn("_run", runs).repartition(count)
+    parts = rows.where(F.col("rows") <= RUN).withColumn("_run", F.lit(0).cast("long")).unionByName(large)
+    first, last = F.col("_run") * RUN, F.least(F.col("rows"), (F.col("_run") + 1) * RUN) - 1
+    return parts.withColumn("k", F.explode(F.sequence(first, last))).drop("_run")
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of documents
+    """(doc_id, size, source_size, target, taken, source, copies) for every row of documents
     (doc_id, text, source); ``taken`` is copies * size."""
     scratch = Scratch(documents.sparkSession, "mix")
-    rows = scratch.save(sizes(documents), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    plan = scratch.save(targets(totals, weights, share, most), "plan").withColumnRenamed("source", "name")
+    # equal rows (a null doc_id may be very common) are one row with their number
+    rows = sizes(documents).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    rows = scratch.save(rows, "sizes")
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n_docs"))
+    plan = scratch.save(targets(totals, weights, share, most, scratch), "plan").withColumnRenamed("source", "name")
     side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     blocks = F.ceil(F.col("n_docs") / BLOCK)
-    joined = rows.join(side, F.col("source").eqNullSafe(F.col("name")))
-    joined = joined.withColumn("want", F.least(want, F.lit(float(most)))).select(
-        "doc_id", "source", "rank", "size", "source_size", "target",
-        F.floor("want").cast("int").alias("base"), (F.col("want") - F.floor("want")).alias("x"),
+    joined = rows.join(side, F.col("source").eqNullSafe(F.col("name"))).withColumn("want", F.least(want, F.lit(float(most))))
+    # of equal rows as many get a copy more as their probabilities make whole; one stays open
+    joined = joined.withColumn("base", F.floor("want").cast("int")).withColumn("open", F.col("rows") * (F.col("want") - F.col("base")))
+    joined = joined.withColumn("ones", F.least(F.floor("open"), F.col("rows") - 1)).select(
+        "doc_id", "source", "rank", "size", "source_size", "target", "rows", "base", "ones", F.least(F.col("open") - F.col("ones"), F.lit(1.0)).alias("x"),
         F.pmod(F.xxhash64("doc_id", "size"), F.greatest(blocks, F.lit(1))).alias("block"),
     )
     most_blocks = plan.agg(F.max("n_docs")).first()[0] or 0
@@ -165,5 +201,6 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    copies = (F.col("base") + F.col("x")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = F.col("base") + F.when(F.col("k") < F.col("ones") + F.col("x"), 1).otherwise(0)
+    out = _spread(out).withColumn("copies", copies.cast("long"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
