@@ -263,6 +263,19 @@ def test_decontamination_in_blocks(spark, awkward, monkeypatch):
     assert decontaminate.clean(awkward.limit(0), bench).count() == 0
 
 
+def test_decontamination_short_items_and_null_ids(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a"), (2, "hello"), (None, "some words of a test"), (3, "some words of a test"), (4, None), (5, " ")], "item_id long, text string")
+    texts = ["an othello", "say Hello!", "hello", "a", "b-a", "so some  words of a TEST", None, "", "\u00e9hello"]
+    table = docs(spark, texts).withColumn("_hits", F.lit("clash"))
+    want = [[], [(2, 0)], [(2, 0)], [(1, 0)], [(1, 0)], [(1, 0), (3, 0), (None, 0)], [], [], []]
+    for block in (8_000_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+        got = {r.doc_id: [*zip(r.item_ids, r.edits, strict=True)] for r in decontaminate.matches(table, items).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert sorted(r.doc_id for r in decontaminate.clean(table, items).collect()) == [0, 6, 7, 8]
+        assert decontaminate.matches(table, items.limit(0)).where("contaminated").count() == 0
+
+
 def test_myers_is_edit_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -523,6 +536,17 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_learns_rare_ones(spark):
+    rng = np.random.default_rng(2)
+    make = lambda alphabet: " ".join("".join(rng.choice(list(alphabet), 5)) for _ in range(30))
+    rows = [(i, make("abcde"), "xx", "s", 1) for i in range(3000)] + [(5000 + i, make("vwxyz"), "yy", "s", 1) for i in range(6)]
+    table = spark.createDataFrame(rows, DOC).withColumn("_place", F.lit("clash"))
+    model = language.train(table)
+    assert model.languages == ["xx", "yy"]
+    got = language.identify(spark.createDataFrame([(1, make("vwxyz"), None, None, None), (2, make("abcde"), None, None, None)], DOC), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "yy", 2: "xx"}
+
+
 def test_language_awkward(spark, awkward):
     model = language.train(awkward)
     got = language.identify(awkward, model).collect()
@@ -674,6 +698,22 @@ def test_mixing(spark, sf, awkward, monkeypatch):
     assert mixing.mix(awkward.limit(0)).count() == 0
 
 
+def test_mixing_many_sources_and_equal_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", f"s{int(rng.integers(0, 80)):02d}", 1) for i in range(900)]
+    rows += [(None, "a b c", "en", "s00", 5)] * 400 + [(None, "a b c", "en", None, 5)] * 70 + [(7, "x y", "en", "s01", 3)] * 31
+    docs_ = spark.createDataFrame(rows, DOC)
+    monkeypatch.setattr(mixing, "RUN", 50)  # large groups are written out in runs
+    got = mixing.mix(docs_).collect()
+    assert got and got[0].__fields__[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted((str(r.doc_id), r.size, str(r.source)) for r in got) == sorted((str(d), len(words(t)), str(s)) for d, t, _, s, _ in rows)
+    check_mix(got, 1)
+    assert sorted(map(str, mixing.mix(docs_.repartition(3)).collect())) == sorted(map(str, got))
+    per = [r.copies for r in got if r.doc_id is None and r.source == "s00"]
+    want = next(r.target / r.source_size for r in got if r.source == "s00")
+    assert abs(np.mean(per) - want) < 2 / 400
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(6)
     size = rng.integers(1, 100, 500).astype(float)
