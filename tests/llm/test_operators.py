@@ -727,6 +727,41 @@ def test_flight_keeps_totals():
 # The pipeline ----------------------------------------------------------------------------------------
 
 
+def test_pipeline_awkward(spark, sf, awkward):
+    import corpus_pipeline as p
+
+    for table, many in ((awkward, True), (awkward.limit(0), False)):
+        docs_ = table
+        for k, (name, stage) in enumerate(p.STAGES):
+            docs_ = Scratch(spark, "test").save(stage(spark, docs_, sf), name)
+            assert k == 4 or docs_.columns == awkward.columns
+        rows = docs_.collect()
+        if many:  # of equal texts the first; nothing without a letter
+            assert {4, 6, 8} <= {r.doc_id for r in rows} <= {None, 4, 6, 8, 9}
+            check_mix(rows, 1)
+        else:
+            assert rows == []
+
+
+def test_pipeline_leaves_nothing_behind(spark, sf, tmp_path):
+    import corpus_pipeline as p
+    from pixelloom.llm import common
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = p.run(spark, sf)
+        assert out.count() > 0
+        assert [x.name for x in tmp_path.iterdir()] == [common.Scratch.live[-1].rsplit("/", 1)[1]]
+        common.release(spark)
+        assert not list(tmp_path.iterdir())
+    finally:
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+        else:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
