@@ -31,6 +31,23 @@ U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of this application's, if its
+    master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return _OWN[context.applicationId]
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared checkpoint folder.
 
@@ -43,15 +60,8 @@ class Scratch:
     live: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, tag: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-            base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
-        self.base = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
         self.live.append(self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

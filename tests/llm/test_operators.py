@@ -743,23 +743,20 @@ def test_pipeline_awkward(spark, sf, awkward):
             assert rows == []
 
 
-def test_pipeline_leaves_nothing_behind(spark, sf, tmp_path):
+def test_pipeline_leaves_nothing_behind(spark, sf, tmp_path, monkeypatch):
     import corpus_pipeline as p
     from pixelloom.llm import common
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = p.run(spark, sf)
-        assert out.count() > 0
-        assert [x.name for x in tmp_path.iterdir()] == [common.Scratch.live[-1].rsplit("/", 1)[1]]
-        common.release(spark)
-        assert not list(tmp_path.iterdir())
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = p.run(spark, sf)
+    assert out.count() > 0
+    assert [x.name for x in tmp_path.iterdir()] == [common.Scratch.live[-1].rsplit("/", 1)[1]]
+    common.release(spark)
+    assert not list(tmp_path.iterdir())
+    monkeypatch.undo()
+    other = type("Other", (), {"conf": type("Conf", (), {"get": lambda self, *a: None})(), "sparkContext": type("Context", (), {"master": "yarn", "applicationId": "a"})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(other)
 
 
 def test_pipeline(spark, sf):
