@@ -94,16 +94,16 @@ def _valid(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _ordered(events: DataFrame, scratch: Scratch) -> DataFrame:
+def _ordered(events: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
     """events with order_turn, order_depth and cyclic.
 
     A call that waits for nothing has depth 0, a result one more than its call, and a call that
     waits one more than the deepest result that it needs.  Its turn is the latest of its own and
-    those of all that it waits for.
+    those of all that it waits for.  ``named`` has the events with an identifier, without texts.
     """
     keys = ["conv_id", "call_id"]
     plain = {"order_turn": F.col("turn"), "order_depth": F.when(F.col("kind") == "result", 1).otherwise(0).cast("long"), "cyclic": F.lit(False)}
-    named = events.where("call_id is not null and conv_id is not null and turn is not null")
+    named = named.where("turn is not null")
     calls = named.where("kind = 'call'")
     waits = calls.where("size(after) > 0").select(*keys, "turn", F.explode("after").alias("need")).where("need is not null")
     results = named.where("kind = 'result'").groupBy(*keys).agg(F.min("turn").alias("ready"))
@@ -173,9 +173,9 @@ def link(events: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SC
     """(conv_id, turn, role, call_id, status, linked_turn, order_turn, order_depth, valid, line)
     for every event.  Sort by conv_id, order_turn, order_depth, turn for the conversation."""
     scratch = Scratch(events.sparkSession, "chat")
-    ordered = _ordered(events, scratch)
     keys = ["conv_id", "call_id"]
-    named = events.where("call_id is not null and conv_id is not null")
+    named = scratch.save(events.where("call_id is not null and conv_id is not null").select(*keys, "turn", "kind", "after"), "named")
+    ordered = _ordered(events, named, scratch)
     calls = named.where("kind = 'call'").groupBy(*keys).agg(F.min("turn").alias("call_turn"))
     results = named.where("kind = 'result'").groupBy(*keys).agg(F.min("turn").alias("result_turn"))
     both = calls.join(results, keys, "full")
