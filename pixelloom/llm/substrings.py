@@ -290,14 +290,13 @@ def repeats(documents: DataFrame, scratch: Scratch, width: int = WINDOW, rounds:
     parted = rows.select("doc_id", "text", _part(F.col("f")))
     symbols = scratch.save(in_arrow(parted, _symbols(width, rounds), "k long, d long, part int"), "symbols")
     shared = _shared(symbols, ["k"], scratch, "shared").select("k")
-    own = scratch.save(symbols.join(shared, "k").groupBy("d", "part").agg(F.collect_set("k").alias("keys")), "keys")
-    scratch.drop("symbols", "shared")
+    own = symbols.join(shared, "k").groupBy("d", "part").agg(F.collect_set("k").alias("keys"))
     # what is known of a (doc_id, part) meets first, so that the texts move once
     ranges = settled.select("d", _part(F.col("f")), F.explode(F.arrays_zip("low", "high")).alias("x"), "f")
     ranges = ranges.groupBy("d", "part").agg(F.collect_list(F.struct("x.low", "x.high", "f")).alias("x"))
     ranges = ranges.select("d", "part", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.f").alias("owner"))
     known = scratch.save(own.join(ranges, ["d", "part"], "left"), "known")
-    scratch.drop("keys")
+    scratch.drop("symbols", "shared")
     dealt = rows.withColumn("part", _part(F.col("f"))).withColumnRenamed("doc_id", "d")
     found = dealt.join(known, ["d", "part"]).select("d", "text", "keys", "low", "high", "owner", "f")
     windows = scratch.save(in_arrow(found, _windows(width, rounds), "h long, g int, d long, f long, s array<int>"), "windows")
