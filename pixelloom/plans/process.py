@@ -73,14 +73,15 @@ def run_tiles(
     processor: Processor | None = None,
     on_progress: Callable[[int, int], None] | None = None,
     interval: float = 0.5,
+    tag: str | None = None,
 ) -> ProcessStats:
     """From a tile source through a filter to a sink, in one job: ``tiles`` is T-form (as the tile
     source or ``to_tiles`` give it), ``write`` hands a T-form table to its sink.
 
     ``on_progress`` gets the finished and all tasks of the pass every ``interval`` seconds while it
-    runs, and once at its end.  ``stop`` with a tag ends it as any job.
+    runs, and once at its end.  ``stop`` with the tag, from another thread, ends it with an error.
     """
-    spark, seen, tag = tiles.sparkSession, Observation(), f"tiles-{uuid.uuid4().hex}"
+    spark, seen, tag = tiles.sparkSession, Observation(), tag or f"tiles-{uuid.uuid4().hex}"
     read = Observation()
     source = tiles.observe(read, F.count("*").alias("total_tiles"))
     done = process_tiles(source, filter, processor)
@@ -113,15 +114,17 @@ def run_tiles(
 @contextmanager
 def tagged(spark: SparkSession, tag: str):
     """Jobs inside carry the tag; ``stop`` ends them."""
-    spark.addTag(tag)
+    context = spark.sparkContext
+    context.setInterruptOnCancel(True)
+    context.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def stop(spark: SparkSession, tag: str) -> None:
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def progress(spark: SparkSession) -> list[tuple[int, int, int]]:

@@ -53,10 +53,12 @@ class ByteRing:
         self._head = self.size = 0
 
 
-def pipe_chunks(chunks: Iterable[bytes], on_chunk: Callable[[bytes], None], capacity: int = 64 * 1024 * 1024) -> int:
-    """Every chunk through a bounded buffer to the callback; the total of bytes."""
+def pipe_chunks(chunks: Iterable[bytes], on_chunk: Callable[[bytes], None], capacity: int = 64 * 1024 * 1024, aborted: Callable[[], bool] = lambda: False) -> int:
+    """Every chunk through a bounded buffer to the callback; the total of bytes.  ``aborted`` is asked
+    before each chunk; where it says so, an error ends the ingestion."""
     ring, total = ByteRing(capacity), 0
     for chunk in chunks:
+        require(not aborted(), "The ingestion was aborted.")
         require(len(chunk) <= ring.capacity, "Chunk is larger than the buffer.")
         ring.write_all(chunk)
         on_chunk(ring.read(len(chunk)))

@@ -1,5 +1,7 @@
 """Passes over collections."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from pixelloom.operators import backend, geometry, stencil, tiling, watermark
 from pixelloom.plans import edit
 from pixelloom.plans.process import FilterStep, convert_images, format_of, process_pipeline, process_with_stats, progress, run_tiles, stop, tagged
 from pixelloom.sources.images import create_images, pack_images, read_images, unpack_images
+from pixelloom.streaming import pipe_chunks
 
 KEY = ["image_id", "y", "x"]
 
@@ -61,6 +64,31 @@ def test_source_filter_sink(spark, pixels, tmp_path):
     assert rows(tiling.from_tiles(spark.read.parquet(str(tmp_path / "out")))) == rows(stencil.apply_filter(pixels, "sharpen3x3"))
 
 
+def test_a_pass_can_be_stopped(spark, pixels):
+    def slow(rgba, i, o, n):
+        import time
+
+        time.sleep(2)
+        return rgba[: o[3], : o[2]]
+
+    over = threading.Event()
+
+    def halt():
+        while not over.wait(1):
+            stop(spark, "halt")
+
+    threading.Thread(target=halt, daemon=True).start()
+    try:
+        with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+            run_tiles(tiling.to_tiles(pixels, 1, 0), "identity", lambda df: df.write.format("noop").mode("overwrite").save(), slow, tag="halt")
+    finally:
+        over.set()
+    seen = []
+    with pytest.raises(RasterError):
+        pipe_chunks([b"a", b"b", b"c"], seen.append, 4, aborted=lambda: len(seen) == 2)
+    assert seen == [b"a", b"b"]
+
+
 def test_backend(spark, pixels):
     want = rows(stencil.apply_filter(pixels, "unsharpMask"))
     assert rows(backend.apply_filter(pixels, "unsharpMask", "arrow", 3)) == rows(backend.apply_filter(pixels, "unsharpMask", "expression")) == want
