@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes ratios.
 
-Every hashed character n-gram (5 and 6 code points, lower-cased text) that occurs in a
+Every hashed character n-gram (4 and 6 code points, lower-cased text) that occurs in a
 text is one binary feature.  The feature's value is its naive Bayes log-count ratio;
 logistic regression on those values is trained in numpy on the driver from a bounded
 sample of labelled rows.  Whole texts are scored in Arrow batches.
@@ -24,7 +24,7 @@ from .common import in_arrow
 
 #: Lengths of character n-grams.  These, CLEAR, STEPS and SHRINK were chosen by cross-validation
 #: within the rows that may be learned from.
-ORDERS = (5, 6)
+ORDERS = (4, 6)
 #: Hash table entries for each length.
 BITS = 18
 #: At most so many labelled rows are gathered for training.
